@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, fingerprints, html_extract, token_counts
+from millrace.llm import bpe, chat_format, fingerprints, html_extract, simhash, substring_dedup, token_counts
 from millrace.llm.common import table
 
 #: Tokenizer file of the queries, and the tokens that a text may have.
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,16 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(logged.unionByName(chat_format.as_events(probe))))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
 def queries() -> dict:
-    found = [op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, op10_token_counts]
+    found = [op1_substring_dedup, op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, op9_simhash_near_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 

@@ -1,0 +1,83 @@
+"""Substring dedup against a dictionary of all windows."""
+
+import random
+import re
+from hashlib import sha256
+
+import numpy as np
+
+from millrace.llm import queries, substring_dedup as s
+
+
+def brute(docs):
+    docs = [(k, t or "") for k, t in docs]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in docs]
+    order = sorted(range(len(docs)), key=lambda i: docs[i][0])
+    seen, out = set(), {}
+    for i in order:
+        w, gone = words[i], set()
+        for a in range(len(w) - s.WINDOW + 1):
+            window = tuple(w[a : a + s.WINDOW])
+            if window in seen:
+                gone.update(range(a, a + s.WINDOW))
+            seen.add(window)
+        out[docs[i][0]] = (len(w), len(gone), sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    return out
+
+
+def result(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+
+
+
+def test_query(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = result(queries.op1_substring_dedup(spark, sf_dir))
+    assert got == brute(docs) and sum(x[1] for x in got.values()) > 0
+
+
+def test_odd_rows(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for i in range(200):
+        words = [f"w{rng.randrange(3)}" for _ in range(rng.randrange(80))] if i % 3 else [f"u{rng.randrange(10**6)}" for _ in range(50)]
+        if i % 2:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage[rng.randrange(20) : 40 + rng.randrange(20)]
+        docs.append((i * 7 % 200, "\t ".join(words) + " nbsp kept  x\n"))
+    docs += [(1000, None), (1001, ""), (1002, "one two"), (1003, "same " * 50000), (1004, "x" * 100000)]
+    df = spark.createDataFrame([(k, t, "", "", "", "") for k, t in docs], "doc_id long, text string, key string, tie string, spans string, bucket string").repartition(7)
+    assert result(s.dedup(df)) == brute(docs)
+    twice = s.dedup(df.union(df)).collect()
+    assert len(twice) == 2 * len(docs) and {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in twice} == brute(docs)
+    assert s.dedup(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, " ".join(passage)), (3, " ".join(passage))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in s.dedup(nulls).collect()} == {None: 60, 3: 0}
+
+
+def test_blocks_and_buckets_by_hand():
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(2)}" for _ in range(rng.randrange(120)))) for i in range(120)]
+    gone = {}
+    blobs = {}
+    for lo in range(0, len(docs), 17):
+        part = docs[lo : lo + 17][::-1]
+        for bucket, blob in s.map_block(np.array([k for k, _ in part]), np.zeros(len(part), np.int64), [t.encode() for _, t in part], 5):
+            blobs.setdefault(bucket, []).append(blob)
+    spans = []
+    for bucket, found in blobs.items():
+        if bucket < 0:
+            for blob in found:
+                spans += list(zip(*[np.frombuffer(x, np.int64).tolist() for x in s._unpack(blob)]))
+        else:
+            spans += list(zip(*[x.tolist() for x in s.reduce_bucket(found)]))
+    for k, _, start, n in spans:
+        gone.setdefault(k, set()).update(range(start, start + n + s.WINDOW - 1))
+    assert {k: len(gone.get(k, ())) for k, _ in docs} == {k: v[1] for k, v in brute(docs).items()}
+
+
+def test_equal_hashes_are_told_apart():
+    codes = np.array(list(range(20)) + list(range(1, 21)) + list(range(20)), np.int32)
+    at = np.array([0, 20, 40])
+    assert s.later(codes, at, np.zeros(3, np.uint64), at).tolist() == [False, False, True]
