@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, fingerprints, html_extract, mixing, quality_rules, simhash, substring_dedup, token_counts
+from millrace.llm import bpe, chat_format, fingerprints, html_extract, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_counts
 from millrace.llm.common import table
 
 #: Tokenizer file of the queries, and the tokens that a text may have.
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
@@ -61,9 +65,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_substring_dedup, op3_quality_rules, op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, op8_mixing_to_weights, op9_simhash_near_dedup, op10_token_counts]
+    found = [op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, op8_mixing_to_weights, op9_simhash_near_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op3_quality_rules": quality_rules.SQL}
