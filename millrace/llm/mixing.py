@@ -99,13 +99,16 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def plan(sizes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(sources, draws): the table of ``targets``, and (rank, block, draws) with an array of (epoch, shard) a drawn block."""
+    """(sources, draws): the table of ``targets``, and (rank, block, draws) with an array of (epoch, shard) a drawn block.
+
+    Blocks without words come with whole epochs only.
+    """
     sources = stored(targets(sizes), "targets")
     at = sizes.join(sources, sizes["__source"].eqNullSafe(sources["__source"])).select("rank", "__size", F.pmod("__hash", F.col("blocks")).cast("int").alias("block"))
     blocks = at.groupBy("rank", "block").agg(F.sum("__size").alias("size"))
     listed = blocks.groupBy("rank").agg(F.collect_list(F.struct("block", "size")).alias("all"))
     tries = sources.join(listed, "rank").select("rank", "epochs", "quota", "all", F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"))
-    permuted = F.sort_array(F.transform("all", lambda x: F.struct(F.xxhash64(F.lit(SEED), "start", "rank", x["block"]).alias("order"), x["block"].alias("block"), x["size"].alias("size"))))
+    permuted = F.sort_array(F.transform(F.filter("all", lambda x: x["size"] > 0), lambda x: F.struct(F.xxhash64(F.lit(SEED), "start", "rank", x["block"]).alias("order"), x["block"].alias("block"), x["size"].alias("size"))))
     chosen = tries.withColumn("of", permuted).withColumn("picked", F.expr(_picked("of", "quota")))
     best = F.min_by(F.struct("epochs", "all", "picked.p"), F.struct(F.abs(F.col("quota") - F.col("picked.taken")), "start"))
     chosen = chosen.groupBy("rank").agg(best.alias("b")).select("rank", "b.epochs", F.transform("b.all", lambda x: x["block"]).alias("of"), F.transform("b.p", lambda x: x["block"]).alias("picked"))
