@@ -171,3 +171,14 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("role").cast("string"), F.col("text").cast("string")
     )
+
+
+def sql(probe: str) -> str:
+    """The digests of the query: all conversations and a further one, -1, of a user and an assistant who both say ``probe``."""
+    escaped = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+    role = escaped.format("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")
+    return f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '{probe}' union all select -1, 1, 'assistant', '{probe}')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum({len(START) + len(END) + 1} + length({role}) + length({escaped.format("text")}))::bigint as formatted_chars from c group by conv_id"""

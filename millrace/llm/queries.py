@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op3_quality_rules": quality_rules.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op7_chat_formatting": chat_format.sql(PROBE), "op2_line_dedup": line_dedup.SQL, "op3_quality_rules": quality_rules.SQL}

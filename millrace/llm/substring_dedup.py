@@ -292,3 +292,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.string())] * with_text, names + ["kept"] * with_text)
 
     return joined.mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+
+
+SQL = r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, row_number() over () as k from documents),
+win as (select k, doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') as s from (select k, doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+late as (select k, i from (select k, i, row_number() over (partition by s order by doc_id, i) as r from win) where r > 1),
+gone as (select distinct k, i + o as j from late, (select unnest(range(20)) as o)),
+word as (select k, j, w[j] as x from (select k, w, unnest(range(1, len(w) + 1)) as j from d)),
+kept as (select k, count(*) as n, string_agg(x, ' ' order by j) as s from word anti join gone using (k, j) group by k)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256 from d left join kept using (k)"""
