@@ -8,6 +8,7 @@ new pieces only; a text is cut into pieces at ASCII white space, which the file'
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -21,8 +22,21 @@ from pyspark.sql import functions as F
 from millrace.llm.common import python_workers, text_of
 from millrace.llm.token_counts import segments
 
-#: Encodings kept by a worker, and the longest piece that is kept.
-CACHE_ENTRIES, CACHE_PIECE = 250_000, 64
+#: Encodings kept by a worker, and the longest piece that is kept; bytes of text whose new pieces are encoded together.
+CACHE_ENTRIES, CACHE_PIECE, SLICE_BYTES = 400_000, 64, 6 << 20
+#: Pieces of these characters (printable ASCII, letters of Latin-1) are normalised and pre-tokenised here, by the file's rules.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class PairIndexBPE:
@@ -45,7 +59,18 @@ class PairIndexBPE:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("plain added tokens are expected")
         self.token |= {i: t for t, i in self.special.items()}
+        #: What stands for an id among decimal ids, and in decoded text.
+        self.number = {i: str(i).encode() for i in self.token}
+        self.token_utf8 = {i: t.encode() for i, t in self.token.items()}
         self.special_run = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.plain = {k: spec[k] for k in _PLAIN_RULES} == _PLAIN_RULES
+        # byte-level form: a printable byte stands for itself, the others for the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        char = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+        self.byte_id = [self.vocab.get(char[b]) for b in range(256)]
+        self.last_id = [self.vocab.get(char[b] + self.suffix) for b in range(256)]
+        self.plain = self.plain and None not in self.byte_id and None not in self.last_id
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: Pair of ids: its rank; rank: the pair and the id that it becomes.
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
@@ -113,19 +138,27 @@ class PairIndexBPE:
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each piece, a string without ASCII white space."""
         plans: list[list[int | str]] = []
-        words: dict[str, int] = {}
+        words: dict[str, list[int]] = {}
         for piece in pieces:
             plan: list[int | str] = []
-            for part in self.special_run.split(piece) if self.special_run else [piece]:
+            for part in self.special_run.split(piece) if self.special_run and "<|" in piece else [piece]:
                 if part in self.special:
                     plan.append(self.special[part])
+                elif self.plain and _PLAIN.fullmatch(part):
+                    for word in _PLAIN_WORDS.findall(part.lower()):
+                        if word not in words:
+                            data = word.encode()
+                            words[word] = [self.byte_id[b] for b in data[:-1]] + [self.last_id[data[-1]]]
+                        plan.append(word)
                 elif part:
                     for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                        words.setdefault(word, len(words))
+                        word = "\n" + word  # byte-level form, apart from the plain words
+                        if word not in words:
+                            words[word] = self.symbols(word[1:])
                         plan.append(word)
             plans.append(plan)
-        ids = self.merged([self.symbols(w) for w in words])
-        return [[i for x in plan for i in ([x] if isinstance(x, int) else ids[words[x]])] for plan in plans]
+        ids = dict(zip(words, self.merged(list(words.values())), strict=True))
+        return [ids[plan[0]] if len(plan) == 1 and isinstance(plan[0], str) else [i for x in plan for i in ([x] if isinstance(x, int) else ids[x])] for plan in plans]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens joined by one space."""
@@ -134,33 +167,39 @@ class PairIndexBPE:
     def learn(self, pieces: set[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
         order = list(pieces)
         encoded = self.encode_pieces([x.decode() for x in order])
-        return {x: (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()) for x, ids in zip(order, encoded, strict=True)}
-
-    def pieces_of(self, text: bytes) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        """For each segment of ``text``: count, ids and decoded form of its pieces that have tokens."""
+        number, token = self.number, self.token_utf8
+        return {x: (len(ids), b" ".join([number[i] for i in ids]), b" ".join([token[i] for i in ids])) for x, ids in zip(order, encoded, strict=True)}
+
+    def look_up(self, parts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        """For each part: count, ids and decoded form of its pieces. The new pieces of all parts are encoded together."""
+        split = [x.split() for x in parts]
+        seen = set().union(*split)
+        known = self.known
+        if (new := seen.difference(known)) and len(known) + len(new) > CACHE_ENTRIES:
+            known = self.known = {w: known[w] for w in seen if w in known}  # what is in use stays
+        known.update(self.learn(new))
+        for words in split:
+            yield [known[w] for w in words]
+        if len(known) > CACHE_ENTRIES:
+            self.known = {}
+        for w in new:
+            if len(w) > CACHE_PIECE:
+                self.known.pop(w, None)
+
+
+def slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number of the text, part) in order, in lists of about SLICE_BYTES."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
         for part in segments(text):
-            words = part.split()
-            try:
-                found = [self.known[w] for w in words]
-            except KeyError:
-                new = self.learn({w for w in words if w not in self.known})
-                if len(self.known) + len(new) > CACHE_ENTRIES:
-                    self.known.clear()
-                    new |= self.learn({w for w in words if w not in new})
-                found = [self.known[w] if w in self.known else new[w] for w in words]
-                self.known.update((k, v) for k, v in new.items() if len(k) <= CACHE_PIECE)
-            yield found
-
-    def warm(self, texts: list[bytes]) -> None:
-        """Encode the new pieces of a whole batch together."""
-        new: set[bytes] = set()
-        for text in texts:
-            for part in segments(text):
-                new.update(w for w in part.split() if len(w) <= CACHE_PIECE and w not in self.known)
-            if len(new) > 50_000:
-                break
-        if len(self.known) + len(new) <= CACHE_ENTRIES:
-            self.known.update(self.learn(new))
+            held.append((i, part))
+            size += len(part)
+            if size >= SLICE_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 _READY: dict[str, PairIndexBPE] = {}
@@ -183,31 +222,28 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(tokenizer)
+        gc.disable()  # nothing here is cyclic, and the many small tuples would be scanned again and again
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            model.warm(texts)
-            n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
-            for text in texts:
-                a, b, total, joint, kept = sha256(), sha256(), 0, b"", []
-                for found in model.pieces_of(text):
+            n, joint, kept = [0] * len(texts), [b""] * len(texts), [[] for _ in texts]
+            ids_hash, text_hash = [sha256() for _ in texts], [sha256() for _ in texts]
+            for held in slices(texts):
+                for (i, _), found in zip(held, model.look_up([x for _, x in held]), strict=True):
                     found = [x for x in found if x[0]]
                     if found:
-                        total += sum(x[0] for x in found)
-                        one, two = b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
-                        a.update(joint + one)
-                        b.update(joint + two)
+                        sizes, ids, tokens = zip(*found, strict=True)
+                        n[i] += sum(sizes)
+                        one, two = b" ".join(ids), b" ".join(tokens)
+                        ids_hash[i].update(joint[i] + one)
+                        text_hash[i].update(joint[i] + two)
+                        joint[i] = b" "
                         if with_text:
-                            kept.append((one, two))
-                        joint = b" "
-                n.append(total)
-                ids_hash.append(a.hexdigest())
-                text_hash.append(b.hexdigest())
-                if with_text:
-                    ids.append([int(x) for one, _ in kept for x in one.split()])
-                    decoded.append(b" ".join(two for _, two in kept).decode())
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                            kept[i].append((one, two))
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array([x.hexdigest() for x in ids_hash], pa.string()), pa.array([x.hexdigest() for x in text_hash], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_text:
+                ids = [[int(x) for one, _ in parts for x in one.split()] for parts in kept]
+                decoded = [b" ".join(two for _, two in parts).decode() for parts in kept]
                 out += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names)
