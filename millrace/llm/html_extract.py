@@ -48,6 +48,8 @@ BAD_NAMES = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply reviews related recommended recommendations "
     "share sharing social pagination pager toolbar widget widgets skip hidden".split()
 )
+#: Names that begin so are meant too.
+BAD_STEMS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "popup", "promo", "sidebar", "sponsor")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -67,9 +69,10 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, str]] = []
         self.root: list = ["", []]
-        # open elements: name, node, path, dropped, inside an article
-        self.open: list[tuple[str, list, str, bool, bool]] = [("", self.root, "", False, False)]
+        # open elements: name, node, path, whether dropped (by what it is, or by its name), inside an article
+        self.open: list[tuple[str, list, str, str, bool]] = [("", self.root, "", "", False)]
         self.text: list[str] = []
+        self.articles = 0
         at, size = 0, len(source)
         while at < size:
             m = _TAG.search(source, at)
@@ -111,17 +114,20 @@ class Page:
 
     def _start(self, name: str, rest: str) -> None:
         attrs = {a.lower(): (x or y or z) for a, x, y, z in _ATTR.findall(rest)} if "=" in rest or "hidden" in rest else {}
-        bad = "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLES
+        role = attrs.get("role", "").lower()
+        bad = "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in BAD_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        named = False
+        main = name in ("article", "main") or role == "main"
         label = name
         names = " ".join(attrs.get(x, "") for x in ("class", "id"))
         if names.strip():
             parts = sorted({x.lower() for x in _SPLIT.split(names) if x})
-            bad = bad or (not BAD_NAMES.isdisjoint(parts) and name not in ("html", "body", "article", "main"))
+            named = name not in ("html", "body") and not (main and not self.articles) and (not BAD_NAMES.isdisjoint(parts) or any(p.startswith(BAD_STEMS) for p in parts))
             label = ".".join([name, *parts])
         if name == "br":
             self.text.append(" ")
             return
-        if name in INLINE and not (bad or name in DROPPED):
+        if name in INLINE and not (bad or named or name in DROPPED):
             return
         if name not in INLINE:
             self._flush()
@@ -145,9 +151,11 @@ class Page:
         _, parent, path, dropped, article = self.open[-1]
         if not parent[1] or parent[1][-1][0] != label:
             parent[1].append([label, []])
-        inside = article or name in ("article", "main") or attrs.get("role", "").lower() == "main"
         bad = bad or name in DROPPED or name == "header" and not article
-        self.open.append((name, parent[1][-1], f"{path}/{label}", dropped or bad, inside))
+        # an article within an element of such a name ("with-sidebar") counts, if it is the page's first
+        drop = "yes" if bad or dropped == "yes" else "" if main and not self.articles else "named" if named or dropped else ""
+        self.articles += main and not drop
+        self.open.append((name, parent[1][-1], f"{path}/{label}", drop, article or main))
 
     def _end(self, name: str) -> None:
         if name == "br":

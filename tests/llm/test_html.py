@@ -31,6 +31,13 @@ def test_broken_markup():
     assert text("<div hidden>x</div><div aria-hidden='true'>y</div><p>z</p>") == "z"
 
 
+def test_names():
+    assert text('<div class="with-sidebar"><div class="sidebar">s</div><article class="post comments-open"><p>a</p></article><article class="comment"><p>c</p></article></div>') == "a"
+    assert text('<div id="cookieBar">x</div><p style="display: none">n</p><p>z</p>') == "z"
+    assert text('<main><p>a</p><section class="user-comments"><article><p>c</p></article></section><span class="ad">x</span></main>') == "a"
+    assert text('<nav><article>no</article></nav><p>yes <em>it</em> is</p>') == "yes it is"
+
+
 def test_query(spark, sf_dir):
     got = {r.page_id: r for r in queries.op5_html_extraction(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
