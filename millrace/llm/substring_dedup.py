@@ -104,7 +104,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _pack(parts: list[bytes]) -> bytes:
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -171,20 +171,12 @@ def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: i
     order = np.argsort(bucket, kind="stable")
     starts, sizes, bucket = starts[order], sizes[order], bucket[order]
     bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    names = np.array(list(vocabulary), object)
-    mark, place = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    names = list(vocabulary)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         s, n = starts[lo:hi], sizes[lo:hi]
-        own = codes[_spread(s, n + WINDOW - 1)]
-        mark[own] = True
-        local = np.flatnonzero(mark)
-        mark[local] = False
-        place[local] = np.arange(len(local))
-        kind = np.uint16 if len(local) <= 1 << 16 else np.uint32
+        words = b" ".join(map(names.__getitem__, codes[_spread(s, n + WINDOW - 1)].tolist()))
         o = owner[s]
-        yield int(bucket[lo]), _pack(
-            [_planes(keys[d[o]]), ties[d[o]].tobytes(), _planes((s - first[o]).astype(np.int64)), _planes(n.astype(np.int64)), b" ".join(names[local].tolist()), np.dtype(kind).char.encode(), _planes(place[own].astype(kind))]
-        )
+        yield int(bucket[lo]), _pack([_planes(keys[d[o]]), _planes(ties[d[o]].astype(np.int32)), _planes((s - first[o]).astype(np.int64)), _planes(n.astype(np.int64)), words])
 
 
 def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,9 +185,9 @@ def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
     parts: list[list[np.ndarray]] = []
     for blob in blobs:
-        keys, ties, starts, sizes, words, kind, codes = _unpack(blob)
-        to = np.fromiter(map(vocabulary.__getitem__, words.split(b" ")), np.int32)
-        parts.append([_from_planes(keys, np.int64), np.frombuffer(ties, np.int64), _from_planes(starts, np.int64), _from_planes(sizes, np.int64), to[_from_planes(codes, np.dtype(kind.decode()).type)]])
+        keys, ties, starts, sizes, words = _unpack(blob)
+        codes = np.fromiter(map(vocabulary.__getitem__, words.split(b" ")), np.int32)
+        parts.append([_from_planes(keys, np.int64), _from_planes(ties, np.int32).astype(np.int64), _from_planes(starts, np.int64), _from_planes(sizes, np.int64), codes])
     keys, ties, starts, sizes, codes = [np.concatenate(x) for x in zip(*parts, strict=True)]
     del parts
     spans = sizes + WINDOW - 1
@@ -218,7 +210,7 @@ def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, tie, spans): for documents with windows that started earlier, their spans of (first word, words).
 
-    ``docs`` has ``key`` (long), ``tie`` (long) and ``text``; earlier means smaller in (key, tie, first word).
+    ``docs`` has ``key`` (long), ``tie`` (long, in 32 bits) and ``text``; earlier means smaller in (key, tie, first word).
     """
     python_workers(docs.sparkSession)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // BUCKET_BYTES))
@@ -268,7 +260,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     document and get the same result. Further columns are ignored; an empty table gives an empty one.
     """
     largest = (1 << 63) - 1
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(largest)).alias("key"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(largest)).alias("key"), F.shiftright(F.xxhash64(text_of()), 32).alias("tie"), text_of().alias("text"))
     joined = slim.join(repeated_spans(slim), ["key", "tie"], "left").select("doc_id", "text", "spans")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
