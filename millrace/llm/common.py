@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.tables import stored
+
+__all__ = ["SEPARATORS", "SEPARATOR_RUN", "input_bytes", "python_workers", "stored", "table", "text_of", "words_of"]
+
 #: What separates words: the space and U+0009 to U+000D, nothing else.
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
@@ -26,39 +27,6 @@ def python_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (a local session, as in tests) is a folder of our own set.
-    """
-    sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
-        return found
-    if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return held.get()
-    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has gone; the folder's owner clears it
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def input_bytes(df: DataFrame, default: int = 1 << 28) -> int:
     """Catalyst's estimate of the bytes below ``df``; used for partition counts only, never for results."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
