@@ -85,6 +85,26 @@ def test_reads(made, size):
         read.read_batches(df, 0, 0)
 
 
+def test_capped_batches(made):
+    rows, df = made
+    got = {(r.topic, r.offset): (r.block, r.read_batch) for r in read.capped_batches(df, 5, 10, 600).collect()}
+    size = {}
+    for t, _, c in sorted(rows, key=lambda r: r[1]):
+        size.setdefault(t, []).append(len(c))
+    block = {(r.topic, r.offset): r.block for r in df.select("topic", "offset", "block").collect()}
+    for t, sizes in size.items():
+        at, number, n, held = None, 0, 0, 0
+        for o in range(5, len(sizes)):
+            if block[t, o] != at:
+                at, number, n, held = block[t, o], 0, 0, 0
+            elif n == 10 or held > 600:
+                number, n, held = number + 1, 0, 0
+            n, held = n + 1, held + sizes[o]
+            assert got[t, o] == (at, number)
+    with pytest.raises(ValueError):
+        read.capped_batches(df, 0, 0, 1)
+
+
 def test_empty_and_null(spark):
     empty = log.as_entries(spark.createDataFrame([], "t string, c binary, i long"), "t", "c", "i")
     assert log.with_blocks(log.with_requests(log.assign_offsets(empty), 3), 10).count() == 0
