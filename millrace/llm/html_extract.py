@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import python_workers, stored, text_of
 
-#: A block is template if it has the same text beside at least so many different articles of a host, and in this share of them.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.8
+#: A block is template if it has the same text beside at least so many different articles of a host, and in this share of them;
+#: but if such blocks make up more than this part of a host's blocks, they are an article and its near copies.
+TEMPLATE_PAGES, TEMPLATE_SHARE, TEMPLATE_PART = 10, 0.8, 0.25
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,7 +273,10 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     slim = seen.select("host", "tree_id", "slot", "text", "body").join(alignment, ["host", "tree_id", "slot"])
     bodies = seen.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("bodies"))
     beside = slim.groupBy("host", "common", "text", "body").agg(F.lit(1).alias("one")).groupBy("host", "common", "text").agg(F.count("*").alias("beside")).where(F.col("beside") >= TEMPLATE_PAGES)
-    template = beside.join(bodies, "host").where(F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("bodies")).select("host", "common", "text")
+    template = beside.join(bodies, "host").where(F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("bodies")).select("host", "common", "text", "beside")
+    every = slim.groupBy("host").agg(F.count("*").alias("blocks"))
+    few = template.groupBy("host").agg(F.sum("beside").alias("same")).join(every, "host").where(F.col("same") <= F.lit(TEMPLATE_PART) * F.col("blocks")).select("host")
+    template = template.join(few, "host").drop("beside")
     # at most 1 / TEMPLATE_SHARE texts a slot are template, so a host's list is as short as its wrapper
     return alignment.join(template, ["host", "common"]).groupBy("host").agg(F.sort_array(F.collect_set(F.struct("tree_id", "slot", "text"))).alias("drop"))
 

@@ -50,14 +50,17 @@ def test_query(spark, sf_dir):
 def test_template_and_odd_rows(spark):
     schema = "page_id long, url string, html string, host string, drop string, text string"
     def page(i):
-        return f"<body><div><p>All rights belong to us.</p><p>Story number {i} about {i * 7} things.</p><div><p>Part {i}</p></div></div></body>"
+        parts = "".join(f"<p>Part {i} {j}</p>" for j in range(4))
+        return f"<body><div><p>All rights belong to us.</p><p>Story number {i} about {i * 7} things.</p><div>{parts}</div></div></body>"
     rows = [(i, f"http://one.example/{i}", page(i), "", "", "") for i in range(40)]
     rows += [(100 + i, f"https://two.example/{i}", "<article><h1>Same</h1><p>copied text</p></article>", "", "", "") for i in range(40)]
+    rows += [(300 + i, f"https://three.example/{i}", f"<article><h1>Same head</h1><p>Same text.</p><p>Edited {i}</p></article>", "", "", "") for i in range(40)]
     rows += [(200, None, None, "", "", ""), (201, "", "", "", "", ""), (None, "x", "<p>q", "", "", ""), (202, "http://one.example/x", "<p>alone</p>", "", "", ""), (202, "http://one.example/x", "<p>alone</p>", "", "", "")]
     got = h.extract(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r.text for r in got}
-    assert all(by[i] == f"Story number {i} about {i * 7} things.\nPart {i}" for i in range(40))
+    assert all(by[i] == f"Story number {i} about {i * 7} things.\n" + "\n".join(f"Part {i} {j}" for j in range(4)) for i in range(40))
+    assert all(by[300 + i] == "Same head\nSame text.\n" + f"Edited {i}" for i in range(40))
     assert all(by[100 + i] == "Same\ncopied text" for i in range(40))
     assert by[200] == by[201] == "" and by[None] == "q" and by[202] == "alone"
     assert h.extract(spark.createDataFrame([], schema)).count() == 0
