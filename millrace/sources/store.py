@@ -98,7 +98,7 @@ class LogStore:
 
     def __init__(self, spark: SparkSession, root: str, max_block: int = 1000 << 20, request: int = 1000, read_only: bool = False, lease_seconds: float = 10.0):
         self.spark, self.root, self.max_block, self.request, self.read_only = spark, root.rstrip("/"), max_block, request, read_only
-        self.lease = Lease(spark, f"{self.root}/.writeLock", lease_seconds)
+        self.lease = Lease(spark, f"{self.root}/.lease", lease_seconds)
         if request < 1:
             raise ValueError("a request has one entry at least")
         if not read_only and not self.lease.acquire():
