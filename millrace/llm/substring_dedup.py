@@ -5,6 +5,10 @@ text that share a minimiser form a super-k-mer, which travels as one packed stri
 minimiser. Equal windows have equal minimisers, so a bucket sees all of them: it sorts its windows by a hash, compares the
 words of equal neighbours, and so knows exactly which window started earlier.
 
+An anchor that very many super-k-mers would share (the edge of a passage that a third of the documents quote) would make one bucket
+grow with the corpus. A first pass counts anchors over all documents; the common ones, a list of bounded length, come last in
+the order, so a window that has any other anchor goes by that.
+
 Mappers work on blocks of some megabytes. A window that already started earlier in its block is settled there and does
 not travel, so a group of copies sends a bucket one window a block at most, however many copies a block holds.
 """
@@ -23,12 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import input_bytes, python_workers, text_of
+from millrace.llm.common import input_bytes, python_workers, stored, text_of
 
 WINDOW, ANCHOR = 20, 4
 #: Bytes of text of a mapper's block, and bytes of the (compressed) input that make one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 
+#: An anchor is counted in a block that has it FEW times, and common if all have it COMMON times, or, if that is more, a MOST-th of all is it.
+FEW, COMMON, MOST = 8, 4096, 1_000_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -124,35 +131,64 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed super-k-mers) of a block of documents, and (-1, packed spans) that are settled within it.
-
-    A super-k-mer has key and tie of its document, the word at which it starts, and its number of windows.
-    """
-    docs = np.lexsort((ties, keys))
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Words of all ``texts`` with a window, in a row: their codes, hashes, the lengths of the texts, which texts these are, and the words by code."""
     numbers = count()
     vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
     pieces, used, lengths = [], [], []
-    for d in docs.tolist():
-        words = texts[d].split()
+    for d, text in enumerate(texts):
+        words = text.split()
         if len(words) >= WINDOW:
             pieces.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             used.append(d)
             lengths.append(len(words))
-    if not pieces:
+    codes = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
+    return codes, hashes[codes] if pieces else np.empty(0, np.uint64), np.array(lengths, np.int64), np.array(used, np.int64), list(vocabulary)
+
+
+def _anchors(word_hashes: np.ndarray) -> np.ndarray:
+    return _mix(_window_hashes(_mix(word_hashes), ANCHOR)) >> np.uint64(1)
+
+
+def _minimisers(word_hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of every window the least anchor; the sorted ``common`` ones come after all others."""
+    anchors = _anchors(word_hashes)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, anchors), len(common) - 1)
+        anchors |= (common[at] == anchors).astype(np.uint64) << np.uint64(63)
+    return _least(anchors, WINDOW - ANCHOR + 1)
+
+
+def count_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Anchors that a block has FEW times or more, how often each, and the number of all."""
+    _, word_hashes, lengths, _, _ = _coded(texts)
+    if not len(lengths):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    anchors = np.sort(_anchors(word_hashes)[owner[: 1 - ANCHOR] == owner[ANCHOR - 1 :]])
+    starts = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+    n = np.diff(np.append(starts, len(anchors)))
+    return anchors[starts[n >= FEW]], n[n >= FEW], len(anchors)
+
+
+def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: int, common: np.ndarray = np.empty(0, np.uint64)) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed super-k-mers) of a block of documents, and (-1, packed spans) that are settled within it.
+
+    A super-k-mer has key and tie of its document, the word at which it starts, and its number of windows.
+    """
+    order = np.lexsort((ties, keys))
+    codes, word_hashes, lengths, used, names = _coded([texts[i] for i in order.tolist()])
+    if not len(lengths):
         return
-    codes = np.concatenate(pieces)
-    del pieces
-    lengths = np.array(lengths)
+    d = order[used]
     first = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    word_hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)[codes]
-    minimiser = _least(_mix(_window_hashes(_mix(word_hashes), ANCHOR)), WINDOW - ANCHOR + 1)
+    minimiser = _minimisers(word_hashes, common)
     hashes = _window_hashes(word_hashes, WINDOW)
     valid = owner[: len(hashes)] == owner[WINDOW - 1 :]
     # rows that share key and tie are one document: what its first row in the block sends holds for all
     repeat = np.zeros(len(lengths), bool)
-    d = np.array(used)
     repeat[1:] = (keys[d[1:]] == keys[d[:-1]]) & (ties[d[1:]] == ties[d[:-1]])
     valid &= ~repeat[owner[: len(hashes)]]
     at = np.flatnonzero(valid)
@@ -171,7 +207,6 @@ def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: i
     order = np.argsort(bucket, kind="stable")
     starts, sizes, bucket = starts[order], sizes[order], bucket[order]
     bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    names = list(vocabulary)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         s, n = starts[lo:hi], sizes[lo:hi]
         words = b" ".join(map(names.__getitem__, codes[_spread(s, n + WINDOW - 1)].tolist()))
@@ -207,6 +242,36 @@ def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return keys[o], ties[o], starts[o] + at[begin] - place[o], n
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows, the last column a text, in lists of about BLOCK_BYTES of text."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        *others, texts = batch.columns
+        for row in zip(*[c.to_pylist() for c in others], texts.cast(pa.binary()).to_pylist(), strict=True):
+            held.append(row)
+            size += len(row[-1])
+            if size >= BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """The anchors that come last, sorted: at most MOST, whatever the size of the corpus."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            found, n, total = count_anchors([x for (x,) in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([None, *found.astype(np.int64).tolist()], pa.int64()), pa.array([total, *n.tolist()], pa.int64())], ["anchor", "n"])
+
+    counts = stored(docs.select("text").mapInArrow(tally, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.where("anchor is null").agg(F.max("n")).first()[0] or 0
+    found = counts.where(F.col("anchor").isNotNull() & (F.col("n") >= max(COMMON, total // MOST))).select("anchor").collect()
+    return np.sort(np.array([r.anchor for r in found], np.int64).astype(np.uint64))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, tie, spans): for documents with windows that started earlier, their spans of (first word, words).
 
@@ -214,28 +279,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     python_workers(docs.sparkSession)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // BUCKET_BYTES))
+    common = common_anchors(docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, ties, texts = zip(*held, strict=True)
-            for bucket, blob in map_block(np.array(keys, np.int64), np.array(ties, np.int64), list(texts), buckets):
+        for rows in _blocks(batches):
+            keys, ties, texts = zip(*rows, strict=True)
+            for bucket, blob in map_block(np.array(keys, np.int64), np.array(ties, np.int64), list(texts), buckets, common):
                 if bucket < 0:  # nothing left to compare: any bucket passes it on
                     bucket = -1 - xxhash.xxh3_64_intdigest(blob) % buckets
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= BLOCK_BYTES:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
     def compare(table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
         if table.column("bucket")[0].as_py() < 0:

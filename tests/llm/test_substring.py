@@ -5,6 +5,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from millrace.llm import queries, substring_dedup as s
 
@@ -25,6 +26,24 @@ def brute(docs):
     return out
 
 
+def test_common_anchors_come_last():
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) + f" {passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(300)]
+    found, n, total = s.count_anchors([t.encode() for t in texts])
+    assert n.max() >= 300 and total > n.sum()
+    sent = [sum(len(b) for k, b in s.map_block(np.array([i]), np.zeros(1, np.int64), [t.encode()], 4096, c) if k >= 0) for c in (found[:0], np.sort(found)) for i, t in enumerate(texts[:20])]
+    assert sum(sent[20:]) < 1.5 * sum(sent[:20])
+    counts = {}
+    for i, t in enumerate(texts):
+        for k, _ in s.map_block(np.array([i]), np.zeros(1, np.int64), [t.encode()], 1 << 40, np.sort(found)):
+            counts[k] = counts.get(k, 0) + 1
+    # only windows within the passage, equal in all texts, still share buckets
+    edge = {k for k, v in counts.items() if v > 1}
+    inner = s._minimisers(s._coded([passage.encode()])[1], np.sort(found))
+    assert edge <= {int(m) % (1 << 40) for m in inner}
+
+
 def result(df):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
 
@@ -36,7 +55,9 @@ def test_query(spark, sf_dir):
     assert got == brute(docs) and sum(x[1] for x in got.values()) > 0
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("common", [1, s.COMMON])
+def test_odd_rows(spark, monkeypatch, common):
+    monkeypatch.setattr(s, "COMMON", common)
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(60)]
     docs = []
@@ -56,14 +77,17 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.n_removed for r in s.dedup(nulls).collect()} == {None: 60, 3: 0}
 
 
-def test_blocks_and_buckets_by_hand():
+@pytest.mark.parametrize("share", [0, 3])
+def test_blocks_and_buckets_by_hand(share):
     rng = random.Random(8)
     docs = [(i, " ".join(f"w{rng.randrange(2)}" for _ in range(rng.randrange(120)))) for i in range(120)]
+    common = np.sort(s.count_anchors([t.encode() for _, t in docs])[0][:: 4 - share]) if share else np.empty(0, np.uint64)
+    assert len(common) >= 10 * bool(share)
     gone = {}
     blobs = {}
     for lo in range(0, len(docs), 17):
         part = docs[lo : lo + 17][::-1]
-        for bucket, blob in s.map_block(np.array([k for k, _ in part]), np.zeros(len(part), np.int64), [t.encode() for _, t in part], 5):
+        for bucket, blob in s.map_block(np.array([k for k, _ in part]), np.zeros(len(part), np.int64), [t.encode() for _, t in part], 5, common):
             blobs.setdefault(bucket, []).append(blob)
     spans = []
     for bucket, found in blobs.items():
