@@ -55,8 +55,15 @@ def _segment_keys(blocks: int) -> Column:
     character less would be indexed."""
 
     def of(length: str, probe: str) -> str:
-        return f"""transform(sequence(0, {blocks - 1}), j -> struct(
-            xxhash64({blocks}, {length}, j, left(line, cast(j * ({length}) div {blocks} as int)), right(line, cast({length} - (j + 1) * ({length}) div {blocks} as int))) as key, {probe} as probe))"""
+        def key(j: str) -> str:
+            start, end = f"cast({j} * ({length}) div {blocks} as int)", f"cast(({j} + 1) * ({length}) div {blocks} as int)"
+            # for a line of one character more than the indexed ones, what is behind the segment begins one later
+            behind = f"{end} + {2 if probe == 'true' else 1}"
+            return f"struct(xxhash64({blocks}, {length}, {j}, substring(line, 1, {start}), substring(line, {behind})) as key, {probe} as probe)"
+
+        if blocks > 4:
+            return f"transform(sequence(0, {blocks - 1}), j -> {key('j')})"
+        return f"array({', '.join(key(str(j)) for j in range(blocks))})"  # compiled, as a lambda is not
 
     return F.expr(f"concat({of('length(line)', 'false')}, {of('length(line) - 1', 'true')})")
 
