@@ -18,8 +18,8 @@ from millrace.llm.common import stored, text_of, words_of
 
 #: Blocks of a source at most; times a document is taken at most; levels of the tree (2 ** LEVELS shards); seed.
 BLOCKS, EPOCHS, LEVELS, SEED = 4096, 3, 4, 20240
-#: Exchanges that follow the first choice of blocks, and picked blocks that one considers.
-ROUNDS, LAST = 4, 32
+#: Exchanges that follow the first choice of blocks, and the blocks, picked and left, that one considers.
+ROUNDS, LAST, NEXT = 4, 32, 256
 #: Permutations of a source's blocks that are tried; the one whose choice comes nearest counts.
 STARTS = 8
 
@@ -56,12 +56,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 def _picked(blocks: str, quota: str) -> str:
     """Of ``blocks`` (order, block, size), (taken, p: those chosen) that make up ``quota``: those that fit, one after the other, then the ROUNDS best exchanges.
 
-    An exchange swaps one of the last LAST picked blocks, or none, for one that is left, or none.
+    An exchange swaps one of the last LAST picked blocks, or none, for one of the first NEXT that are left, or none.
     """
     none = "array(struct(-1 as block, 0L as size))"
     fitted = f"""aggregate({blocks}, struct(0L as taken, cast(array() as array<struct<block:int,size:bigint>>) as p),
         (a, x) -> case when a.taken + x.size <= {quota} then struct(a.taken + x.size as taken, concat(a.p, array(struct(x.block as block, x.size as size))) as p) else a end)"""
-    rest = f"concat({none}, transform(filter({blocks}, x -> not array_contains(a.p.block, x.block)), x -> struct(x.block as block, x.size as size)))"
+    rest = f"concat({none}, transform(slice(filter({blocks}, x -> not array_contains(a.p.block, x.block)), 1, {NEXT}), x -> struct(x.block as block, x.size as size)))"
     last = f"concat({none}, slice(a.p, greatest(size(a.p) - {LAST - 1}, 1), {LAST}))"
     best = f"""transform(array({rest}), r -> array_min(flatten(transform({last}, o -> transform(r, i ->
         struct(abs({quota} - (a.taken - o.size + i.size)) as gap, o.block as o, o.size as os, i.block as i, i.size as isz))))))"""
@@ -108,6 +108,8 @@ def plan(sizes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     blocks = at.groupBy("rank", "block").agg(F.sum("__size").alias("size"))
     listed = blocks.groupBy("rank").agg(F.collect_list(F.struct("block", "size")).alias("all"))
     tries = sources.join(listed, "rank").select("rank", "epochs", "quota", "all", F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"))
+    # few bytes, but much work a row: a number keeps them from being put together again
+    tries = tries.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "start")
     permuted = F.sort_array(F.transform(F.filter("all", lambda x: x["size"] > 0), lambda x: F.struct(F.xxhash64(F.lit(SEED), "start", "rank", x["block"]).alias("order"), x["block"].alias("block"), x["size"].alias("size"))))
     chosen = tries.withColumn("of", permuted).withColumn("picked", F.expr(_picked("of", "quota")))
     best = F.min_by(F.struct("epochs", "all", "picked.p"), F.struct(F.abs(F.col("quota") - F.col("picked.taken")), "start"))
