@@ -46,13 +46,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A polynomial hash of every ``size`` consecutive word hashes, wrapping at 64 bits."""
-    n = len(words) - size + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(size if n > 0 else 0):
-        out *= _BASE
-        out += words[i : i + n]
-    return out
+    """A polynomial hash of every ``size`` consecutive word hashes, wrapping at 64 bits; spans are doubled, then joined."""
+    if len(words) < size:
+        return np.empty(0, np.uint64)
+    out, done, span, length, power = None, 0, words, 1, _BASE
+    while True:
+        if size & length:  # the spans done so far, then this one
+            out = span if out is None else out[: len(span) - done] * power + span[done:]
+            done += length
+        if done == size:
+            return out
+        span, length, power = span[:-length] * power + span[length:], 2 * length, np.uint64(int(power) ** 2 % (1 << 64))
 
 
 def _least(x: np.ndarray, size: int) -> np.ndarray:
@@ -69,23 +73,24 @@ def later(codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, place: np.ndarr
 
     Exact: the words of windows with equal hashes are compared.
     """
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     sorted_ = hashes[order]
     same = sorted_[1:] == sorted_[:-1]
     pairs = np.flatnonzero(same)
     out = np.zeros(len(at), bool)
     if len(pairs):
         begins = np.flatnonzero(np.append(True, ~same))
-        run = np.cumsum(np.append(False, ~same))[pairs + 1]
+        least = np.minimum.reduceat(place[order], begins)
+        run = np.cumsum(np.append(False, ~same))
+        out[order] = place[order] != least[run]
         a, b = at[order[pairs]], at[order[pairs + 1]]
         equal = np.ones(len(pairs), bool)
         for i in range(size):
             equal &= codes[a + i] == codes[b + i]
-        out[order[pairs + 1]] = place[order[pairs + 1]] != place[order[begins[run]]]
-        for r in set(run[~equal].tolist()):  # different windows of one hash: the words themselves settle the run
+        for r in set(run[pairs[~equal]].tolist()):  # different windows of one hash: the words themselves settle the run
             seen: dict[bytes, int] = {}
             end = begins[r + 1] if r + 1 < len(begins) else len(order)
-            for k in order[begins[r] : end].tolist():
+            for k in np.sort(order[begins[r] : end]).tolist():
                 out[k] = seen.setdefault(codes[at[k] : at[k] + size].tobytes(), int(place[k])) != place[k]
     return out
 
