@@ -31,7 +31,7 @@ from millrace.llm.common import input_bytes, python_workers, stored, text_of
 
 WINDOW, ANCHOR = 20, 4
 #: Bytes of text of a mapper's block, and bytes of the (compressed) input that make one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 
 #: An anchor is counted in a block that has it FEW times, and common if all have it COMMON times, or, if that is more, a MOST-th of all is it.
 FEW, COMMON, MOST = 8, 4096, 1_000_000
