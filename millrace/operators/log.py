@@ -51,7 +51,7 @@ def with_requests(log: DataFrame, size: int) -> DataFrame:
     """``batch_id``: the write request of an entry, if a client sends ``size`` entries at a time."""
     if size < 1:
         raise ValueError("a request has one entry at least")
-    return log.withColumn("batch_id", F.floor(F.col("offset") / size)).withColumn("byte_size", F.octet_length("content").cast("long"))
+    return log.withColumn("batch_id", F.expr(f"offset div {size}")).withColumn("byte_size", F.octet_length("content").cast("long"))
 
 
 def requests(log: DataFrame) -> DataFrame:
@@ -80,21 +80,16 @@ def roll_blocks(written: DataFrame, max_block: int, heads: DataFrame | None = No
             known, bytes_ = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             blocks, heads_ = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
             at = 0
-            while at < len(ids):
-                if topics[at] != topic:
+            for end in [*(i for i in range(1, len(topics)) if topics[i] != topics[i - 1]), len(topics)]:
+                if at < end and topics[at] != topic:
                     topic, block, head = topics[at], known[at], bytes_[at] or 0
-                if block is None or head > max_block:
-                    block, head = int(first[at]), 0
-                end = at + 1
-                while end < len(ids) and topics[end] == topic:
-                    end += 1 if end - at < 64 else min(4096, len(ids) - end)
-                end = min(end, len(ids))
-                while topics[end - 1] != topic:
-                    end -= 1
-                sums = head + np.cumsum(size[at:end])
-                stop = min(int(np.searchsorted(sums, max_block, "right")) + 1, end - at)  # the first over the limit still fits
-                blocks[at : at + stop], heads_[at : at + stop] = block, sums[:stop]
-                head, at = int(sums[stop - 1]), at + stop
+                while at < end:
+                    if block is None or head > max_block:
+                        block, head = int(first[at]), 0
+                    sums = head + np.cumsum(size[at : min(end, at + 1024)])
+                    stop = min(int(np.searchsorted(sums, max_block, "right")) + 1, len(sums))  # the request that passes the limit still fits
+                    blocks[at : at + stop], heads_[at : at + stop] = block, sums[:stop]
+                    head, at = int(sums[stop - 1]), at + stop
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks), pa.array(heads_)], ["topic", "batch_id", "block", "head_bytes"])
 
     return rows.repartition("topic").sortWithinPartitions("topic", "batch_id").mapInArrow(fold, "topic string, batch_id long, block long, head_bytes long")

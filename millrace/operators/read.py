@@ -21,8 +21,7 @@ def read_batches(log: DataFrame, offset: int, size: int) -> DataFrame:
     """``log`` from ``offset`` on with ``read_batch``, the number of the batch in its segment; batches don't span segments."""
     if size < 1:
         raise ValueError("a batch has one entry at least")
-    begin = F.greatest(F.lit(offset).cast("long"), F.col("block"))
-    return log.where(F.col("offset") >= offset).withColumn("read_batch", F.floor((F.col("offset") - begin) / size))
+    return log.where(F.col("offset") >= offset).withColumn("read_batch", F.expr(f"(offset - greatest({int(offset)}L, block)) div {int(size)}"))
 
 
 def batches(log: DataFrame, offset: int, size: int) -> DataFrame:

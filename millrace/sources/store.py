@@ -162,8 +162,7 @@ class LogStore:
         heads = self.status()
         numbered = ops.assign_offsets(entries, heads)
         first = heads.select("topic", F.col("next_offset").alias("was"), F.col("next_batch").alias("nb"))
-        zero = F.lit(0).cast("long")
-        log = numbered.join(first, "topic", "left").withColumn("batch_id", F.coalesce("nb", zero) + F.floor((F.col("offset") - F.coalesce("was", zero)) / self.request)).withColumn("byte_size", F.octet_length("content").cast("long")).drop("was", "nb")
+        log = numbered.join(first, "topic", "left").withColumn("batch_id", F.expr(f"coalesce(nb, 0L) + (offset - coalesce(was, 0L)) div {int(self.request)}")).withColumn("byte_size", F.octet_length("content").cast("long")).drop("was", "nb")
         rolled = ops.roll_blocks(ops.requests(log), self.max_block, heads).persist(StorageLevel.DISK_ONLY)
         try:
             if rolled.isEmpty():
