@@ -15,7 +15,7 @@ from millrace.functions import binary, render
 from millrace.operators import index, log, read
 from millrace.sources.store import LogStore
 from millrace.sources.text import lines_of
-from millrace.streaming import follow
+from millrace.streaming import follow, stateful
 from millrace.tables import shared_dir, stored
 
 REQUEST, MAX_BLOCK, EVERY, START, BATCH = 10, 20_000, 10, 137, 100
@@ -189,6 +189,16 @@ def stream_offsets(spark, sf_dir):
         return _text(store.log()).select("topic", "offset", "content")
 
 
+def stream_offsets_stateful(spark, sf_dir):
+    """The same by a stateful operator, from stream to stream."""
+    root = f"{shared_dir(spark)}/millrace-stateful-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("data", F.encode("props", "UTF-8"))
+    numbered_ = stateful.with_offsets(stream, "event_type", "data", "event_id")
+    numbered_.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return _text(spark.read.schema(numbered_.schema).parquet(f"{root}/out")).select("topic", "offset", "content")
+
+
 def stream_tail_replay(spark, sf_dir):
     """Appends in three commits, followed from an offset on into a table."""
     root = f"{shared_dir(spark)}/millrace-store-{uuid.uuid4().hex}"
@@ -207,7 +217,7 @@ def stream_tail_replay(spark, sf_dir):
 
 QUERIES = [
     topic_list, assign_offsets, read_from_offset, read_at_end_empty, write_batches, frame_sizes, block_rollover, block_info, topic_status, byte_offsets, sparse_index, offset_to_block, index_lookup, scan_count, index_head,
-    unindexed_blocks, read_batches, contiguity_check, render_lines, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_tail_replay,
+    unindexed_blocks, read_batches, contiguity_check, render_lines, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_offsets_stateful, stream_tail_replay,
 ]
 
 
@@ -270,5 +280,6 @@ def oracle_sql() -> dict[str, str]:
         "write_status": "select count(*) as wrote from events where event_type is not null",
         "store_append": """select event_type as topic, row_number() over (partition by event_type order by event_id % 1000 >= 500, event_id) - 1 as "offset", coalesce(props, '') as content from events""",
         "stream_offsets": everything,
+        "stream_offsets_stateful": everything,
         "stream_tail_replay": f"with {_LOG} select \"offset\", content from log where topic = 'view' and \"offset\" >= {START}",
     }
