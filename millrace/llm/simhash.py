@@ -160,8 +160,8 @@ def classes(prints: DataFrame, order: Column, radius: int = RADIUS) -> DataFrame
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` but one of each component only: the one of the smallest (doc_id, hash of the text)."""
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)))
-    prints = stored(fingerprints(keyed, "__id", "__th"), "fingerprints")
-    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")
-    first = classes(prints, order, radius).select("least.*").distinct().select(F.col("__id").alias("__i"), F.col("__th").alias("__t"))
-    return keyed.join(first, keyed["__id"].eqNullSafe(F.col("__i")) & (keyed["__th"] == F.col("__t"))).dropDuplicates(["__id", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = ["__none", "__id", "__th"]  # plain equality on these: the join leaves rows dealt as dropDuplicates wants them
+    keyed = docs.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)))
+    prints = stored(fingerprints(keyed, *row), "fingerprints")
+    first = stored(classes(prints, F.struct(*row), radius).select("least.*").distinct(), "first")
+    return keyed.join(first, row).dropDuplicates(row).select(*[F.col(f"`{c}`") for c in docs.columns])
