@@ -132,7 +132,8 @@ def _with_draws(sizes: DataFrame, sources: DataFrame, draws: DataFrame) -> DataF
     s = sources.select(F.col("__source").alias("__s"), F.col("rank").alias("__rank"), F.col("size").alias("__source_size"), F.col("target").alias("__target"), F.col("blocks").alias("__blocks"))
     d = draws.select(F.col("rank").alias("__r"), F.col("block").alias("__b"), F.col("draws").alias("__draws"))
     at = sizes.join(s, sizes["__source"].eqNullSafe(s["__s"])).withColumn("__block", F.pmod("__hash", F.col("__blocks")).cast("int"))
-    return at.join(d, (F.col("__rank") == F.col("__r")) & (F.col("__block") == F.col("__b")), "left")
+    # draws compress so well that their files say little of their size: never broadcast
+    return at.join(d.hint("merge"), (F.col("__rank") == F.col("__r")) & (F.col("__block") == F.col("__b")), "left")
 
 
 def taken(docs: DataFrame) -> DataFrame:
