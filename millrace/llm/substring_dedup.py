@@ -136,8 +136,9 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Words of all ``texts`` with a window, in a row: their codes, hashes, the lengths of the texts, which texts these are, and the words by code."""
+def _coded(texts: list[bytes], joined: list[bytes] | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Words of all ``texts`` that have a window, in a row: their codes, the words by code, the lengths of the texts, and which
+    texts these are. ``joined``, if given, gets their words joined by one space."""
     numbers = count()
     vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
     pieces, used, lengths = [], [], []
@@ -147,9 +148,14 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             pieces.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             used.append(d)
             lengths.append(len(words))
+            if joined is not None:
+                joined.append(b" ".join(words))
     codes = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
-    return codes, hashes[codes] if pieces else np.empty(0, np.uint64), np.array(lengths, np.int64), np.array(used, np.int64), list(vocabulary)
+    return codes, list(vocabulary), np.array(lengths, np.int64), np.array(used, np.int64)
+
+
+def _word_hashes(codes: np.ndarray, names: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)[codes]
 
 
 def _anchors(word_hashes: np.ndarray) -> np.ndarray:
@@ -167,9 +173,10 @@ def _minimisers(word_hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def count_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     """Anchors that a block has FEW times or more, how often each, and the number of all."""
-    _, word_hashes, lengths, _, _ = _coded(texts)
+    codes, names, lengths, _ = _coded(texts)
     if not len(lengths):
         return np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    word_hashes = _word_hashes(codes, names)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     anchors = np.sort(_anchors(word_hashes)[owner[: 1 - ANCHOR] == owner[ANCHOR - 1 :]])
     starts = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
@@ -183,9 +190,13 @@ def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: i
     A super-k-mer has key and tie of its document, the word at which it starts, and its number of windows.
     """
     order = np.lexsort((ties, keys))
-    codes, word_hashes, lengths, used, names = _coded([texts[i] for i in order.tolist()])
+    joined: list[bytes] = []
+    codes, names, lengths, used = _coded([texts[i] for i in order.tolist()], joined)
     if not len(lengths):
         return
+    word_hashes = _word_hashes(codes, names)
+    text = b" ".join(joined)
+    word_at = np.cumsum(np.append(0, np.array([len(w) + 1 for w in names], np.int64)[codes]))
     d = order[used]
     first = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -214,7 +225,7 @@ def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: i
     bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         s, n = starts[lo:hi], sizes[lo:hi]
-        words = b" ".join(map(names.__getitem__, codes[_spread(s, n + WINDOW - 1)].tolist()))
+        words = b" ".join([text[i:j] for i, j in zip(word_at[s].tolist(), (word_at[s + n + WINDOW - 1] - 1).tolist(), strict=True)])
         o = owner[s]
         yield int(bucket[lo]), _pack([_planes(keys[d[o]]), _planes(ties[d[o]].astype(np.int32)), _planes((s - first[o]).astype(np.int64)), _planes(n.astype(np.int64)), words])
 
