@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.workers import python_workers
+
 #: Bytes of a frame besides its content; bytes before the content; bytes of an index entry.
 OVERHEAD, HEAD, INDEX_ENTRY = 20, 12, 16
 #: Fixed value: the reflected Castagnoli polynomial.
@@ -108,6 +110,7 @@ def crc32c_many(values: list[bytes]) -> np.ndarray:
 
 def crc32c(data: Column) -> Column:
     """CRC-32C of a binary column, as a long; null for null."""
+    python_workers()
 
     @F.pandas_udf("long")
     def checksum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

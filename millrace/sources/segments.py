@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
 )
 
 from millrace.functions.binary import HEAD, INDEX_ENTRY, OVERHEAD, crc32c_many
+from millrace.workers import python_workers
 
 LOG_SCHEMA = "topic string, block long, offset long, content binary, byte_size long, crc long, byte_offset long"
 INDEX_SCHEMA = "topic string, block long, offset long, byte_offset long"
@@ -344,9 +345,7 @@ class SegmentIndex(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make both formats known to the session, filters pushed down."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+    python_workers(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Segments)
     spark.dataSource.register(SegmentIndex)

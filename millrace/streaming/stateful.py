@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.workers import python_workers
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,6 +38,7 @@ class NextOffset(StatefulProcessor):
 def with_offsets(stream: DataFrame, topic: str, content: str, seq: str) -> DataFrame:
     """A stream of (topic, offset, content): offsets dense by topic, in micro-batches by ``seq``. Null topics are dropped, null
     contents empty."""
+    python_workers(stream.sparkSession)
     stream.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
     rows = stream.select(F.col(topic).alias("topic"), F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content")).where(F.col("topic").isNotNull())
     return rows.groupBy("topic").transformWithStateInPandas(NextOffset(), "topic string, offset long, content binary", "append", "none")
