@@ -45,3 +45,21 @@ def test_offsets_use_no_window_over_a_topic(spark):
     window = text.find("Window")
     assert window > 0 and "HashAggregate" in text[window:]  # only above counts by partition
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_workers_import_from_anywhere(tmp_path):
+    """A driver that was started elsewhere, without a path set."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from millrace.functions.binary import crc32c
+from millrace.sources import segments
+assert spark.range(1).select(crc32c(F.lit(b"123456789"))).first()[0] == 0xE3069283
+open("0.log", "wb").write(segments.encode([b"a"], 0))
+segments.register(spark)
+assert spark.read.format("segments").load("0.log").count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180, capture_output=True)
