@@ -14,7 +14,9 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from millrace.llm.common import python_workers, text_of
 from millrace.llm.token_counts import segments
 
 #: Encodings kept by a worker, and the longest piece that is kept; bytes of text whose new pieces are encoded together.
-CACHE_ENTRIES, CACHE_PIECE, SLICE_BYTES = 400_000, 64, 6 << 20
+CACHE_ENTRIES, CACHE_PIECE, SLICE_BYTES = 250_000, 64, 3 << 20
+#: Rows of an Arrow batch that are in hand as Python objects at once.
+ROWS = 2048
 #: Pieces of these characters (printable ASCII, letters of Latin-1) are normalised and pre-tokenised here, by the file's rules.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -74,6 +78,8 @@ class PairIndexBPE:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: Pair of ids: its rank; rank: the pair and the id that it becomes.
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        ordered = sorted((a << 20 | b, r) for (a, b), r in self.rank.items())
+        self.pair_keys, self.pair_ranks = np.array([k for k, _ in ordered], np.int64), np.array([r for _, r in ordered], np.int64)
         self.merge = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
 
@@ -84,21 +90,23 @@ class PairIndexBPE:
         are skipped when their rank comes up. A pair made by a merge joins its list and activates its rank.
         """
         rank, merge = self.rank, self.merge
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        where: dict[int, list[int]] = {}
-        starts = []
-        for word in words:
-            first = len(symbol)
-            starts.append(first if word else -1)
-            symbol += word
-            end = len(symbol)
-            before += [-1, *range(first, end - 1)][: end - first]
-            after += [*range(first + 1, end), -1][: end - first]
-            for i in range(first, end - 1):
-                if (r := rank.get((symbol[i], symbol[i + 1]))) is not None:
-                    where.setdefault(r, []).append(i)
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
+        if not len(flat):
+            return [[] for _ in words]
+        ends = np.cumsum(sizes)
+        starts = np.where(sizes > 0, ends - sizes, -1)
+        following, preceding = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        following[ends[sizes > 0] - 1] = preceding[starts[sizes > 0]] = -1
+        keys = flat[:-1] << 20 | flat[1:]
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        places = np.flatnonzero((self.pair_keys[at] == keys) & (following[:-1] >= 0))
+        ranks = self.pair_ranks[at[places]]
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        where: dict[int, list[int]] = dict(zip(ranks[np.append(0, cuts)].tolist(), [x.tolist() for x in np.split(places, cuts)], strict=True)) if len(ranks) else {}
+        symbol, after, before = flat.tolist(), following.tolist(), preceding.tolist()
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -122,7 +130,7 @@ class PairIndexBPE:
                         heapq.heappush(active, x)
                     where[x].append(h)
         out = []
-        for i in starts:
+        for i in starts.tolist():
             ids = []
             while i >= 0:
                 ids.append(symbol[i])
@@ -223,7 +231,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(tokenizer)
         gc.disable()  # nothing here is cyclic, and the many small tuples would be scanned again and again
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             n, joint, kept = [0] * len(texts), [b""] * len(texts), [[] for _ in texts]
             ids_hash, text_hash = [sha256() for _ in texts], [sha256() for _ in texts]
