@@ -4,7 +4,7 @@ Documents are cut into blocks: a document's block is the hash of its content mod
 source's target gives whole epochs, which draw all its blocks, and a rest, which draws blocks in permuted order as long as they fit.
 The drawn blocks are exact quotas by source; a binary tree splits them among output shards by multivariate hypergeometric
 draws (source after source, each given what is left), so every shard gets a fixed number of blocks and the quotas of the
-leaves add up. Shards then take consecutive ranges of each source's permuted blocks, disjoint ones, and order their documents by a hash.
+leaves add up. Shards then take consecutive ranges of each source's permuted blocks, disjoint ones, and their documents are sorted by a hash.
 
 Only per-source rows and at most BLOCKS blocks a source are ever brought together; documents are never grouped by source.
 """
@@ -156,14 +156,19 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, place: bool = False) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken; with ``place``, its shard and its place in the shuffle.
+    """The mix itself: each row of ``docs`` as often as it is taken, shard after shard, each in shuffled order.
 
-    The local shuffle of a shard is the order of ``__place``.
+    Rows are dealt to partitions by shard and by range of ``__place``, a hash, and sorted by it: partitions in order, and so
+    the files written from them, are the shards in order. With ``place``, the shard and the place are columns.
     """
     columns = docs.columns
     sizes = stored(sized(docs.select("doc_id", "source", "text")), "sizes")
     found = _with_draws(sized(docs, *columns), *plan(sizes))
-    rows = found.select(*[F.col(f"`{c}`") for c in columns], "__hash", F.explode("__draws").alias("__draw"))
     kept = [F.col(f"`{c}`") for c in columns]
-    extra = [F.col("__draw.shard").alias("__shard"), F.xxhash64(F.lit(SEED + 2), "__hash", "__draw.epoch").alias("__place")] if place else []
-    return rows.select(*kept, *extra)
+    rows = found.select(*kept, "__hash", F.explode("__draws").alias("__draw"))
+    rows = rows.select(*kept, F.col("__draw.shard").alias("__shard"), F.xxhash64(F.lit(SEED + 2), "__hash", "__draw.epoch").alias("__place"))
+    # partitions of a shard: places are uniform, so equal ranges of them are even
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> LEVELS)
+    part = F.least(F.floor((F.col("__place") / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1))
+    dealt = rows.repartitionById(ranges << LEVELS, (F.col("__shard") * ranges + part).cast("int")).sortWithinPartitions("__shard", "__place")
+    return dealt if place else dealt.select(*kept)

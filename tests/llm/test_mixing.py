@@ -1,7 +1,10 @@
 """Mixing: targets against the sharing rule done by hand, takes against targets, quotas against their sums."""
 
+import glob
 import re
 
+import corpus_pipeline
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, queries
@@ -77,3 +80,17 @@ def test_draws_are_disjoint(spark, sf_dir):
     assert rows.count() == rows.dropDuplicates(["rank", "block", "epoch"]).count()
     per = [r["count"] for r in rows.groupBy("shard").count().collect()]
     assert max(per) - min(per) <= 1
+
+
+def test_shards_are_shuffled(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mixed(docs, place=True).withColumn("at", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()).orderBy("nth").collect()
+    placed = [(r["__shard"], r["__place"]) for r in rows]
+    assert placed == sorted(placed) and len({s for s, _ in placed}) == 16
+    of = {}
+    for r in rows:
+        of.setdefault(r["at"], set()).add(r["__shard"])
+    assert all(len(x) == 1 for x in of.values())
+    corpus_pipeline.mix(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mix")
+    written = [k for f in sorted(glob.glob(f"{tmp_path}/mix/part-*")) for k in pq.read_table(f)["doc_id"].to_pylist()]
+    assert written == [r["doc_id"] for r in rows]
