@@ -2,8 +2,8 @@
 
 A page becomes a tree of labels (element and class names), runs of equal siblings folded into one. For each host the
 commonest tree is the reference; simple tree matching aligns every other tree with it, so that text blocks of all pages
-fall into common slots. A block whose text stays the same while the pages around it differ is template; the varying slots
-of the article are content. Navigation, advertising, comments and the like are known by element, role and class names.
+fall into common slots. A block whose text stays the same while the articles around it differ is template, slot by slot;
+the varying slots of the article are content. Navigation, advertising, comments and the like are known by element, role and class names.
 
 The host's pages are never gathered: trees and slot texts are aggregated first, and what a host's wrapper says goes back to
 its pages by a join.
@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import python_workers, stored, text_of
 
-#: A block is template if it has the same text beside at least so many different articles of a host, and in this share of them;
-#: but if such blocks make up more than this part of a host's blocks, they are an article and its near copies.
-TEMPLATE_PAGES, TEMPLATE_SHARE, TEMPLATE_PART = 10, 0.8, 0.25
+#: A block is template if it has the same text beside at least so many different articles of a host, and in this share of them.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.8
+#: Articles are told apart by min-hashes of what is left without such blocks: bodies that agree in half of them count once, and so do
+#: all that have fewer words left.
+SKETCH, OWN_WORDS = 32, 5
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,6 +236,59 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 64, SKETCH, np.uint64) | np.uint64(1)
+
+
+def sketch(blocks: list[str]) -> list[int] | None:
+    """Min-hashes of the pairs of neighbouring words; None for fewer than OWN_WORDS words."""
+    words = [b.split(" ") for b in blocks]
+    if sum(map(len, words)) < OWN_WORDS:
+        return None
+    pairs = {" ".join(x) for w in words for x in (zip(w, w[1:], strict=False) if len(w) > 1 else [w])}
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in pairs], np.uint64)
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[None, at : at + 4096] * _FACTORS[:, None]).min(axis=1))
+    return least.view(np.int64).tolist()
+
+
+def _with_wrappers(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return pages.withColumn("host", host).join(wrappers, "host", how)
+
+
+def _different(pages: DataFrame, constant: DataFrame) -> DataFrame:
+    """(host, block): of the ``constant`` blocks (host, drop) those that stand beside enough different articles."""
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, sketches, found = [], [], []
+            for source, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                page = Page(source)
+                tree = _hash(page.tree())
+                known = {(x["slot"], x["text"]): x["block"] for x in drop if x["tree_id"] == tree}
+                blocks = [(known.get((s, _hash(t))), t) for s, t in page.candidates()]
+                bodies.append(_hash("\n".join(t for _, t in blocks)))
+                sketches.append(sketch([t for b, t in blocks if b is None]))
+                found.append(sorted({b for b, _ in blocks if b is not None}))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.int64()), pa.array(sketches, lists), pa.array(found, lists)], ["host", "body", "sketch", "blocks"])
+
+    rows = _with_wrappers(pages, constant, "inner").select("host", "html", "drop").mapInArrow(left, "host string, body long, sketch array<long>, blocks array<long>")
+    bodies = stored(rows.distinct(), "bodies")
+    values = bodies.where("sketch is not null").select("host", "sketch").distinct().withColumn("id", F.xxhash64("sketch")).select("host", "id", F.posexplode("sketch").alias("i", "value"))
+    sizes = values.groupBy("host", "i", "value").agg(F.count("*").alias("n"))
+    # in at least half of the min-hashes so many bodies agree with one
+    alike = values.join(sizes, ["host", "i", "value"]).groupBy("host", "id").agg(F.sort_array(F.collect_list("n"))[SKETCH // 2].alias("alike"))
+    own = bodies.select("host", F.xxhash64("sketch").alias("id"), F.col("sketch").isNull().alias("short"), "blocks")
+    counted = own.join(alike, ["host", "id"], "left").select("host", "blocks", F.when(F.col("short"), -1).otherwise(F.col("id")).alias("id"), F.when(F.col("short"), 1.0).otherwise(1 / F.col("alike")).alias("part"))
+    counted = stored(counted, "articles")
+    articles = counted.select("host", "id", "part").distinct().groupBy("host").agg(F.sum("part").alias("articles"))
+    beside = counted.select("host", "id", "part", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.sum("part").alias("beside"))
+    enough = (F.col("beside") > TEMPLATE_PAGES - 0.01) & (F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("articles"))
+    return beside.join(articles, "host").where(enough).select("host", "block")
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """Per host that has template blocks: ``drop``, an array of structs (tree, slot, text) of hashes to leave out."""
     python_workers(pages.sparkSession)
@@ -273,12 +329,12 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     slim = seen.select("host", "tree_id", "slot", "text", "body").join(alignment, ["host", "tree_id", "slot"])
     bodies = seen.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("bodies"))
     beside = slim.groupBy("host", "common", "text", "body").agg(F.lit(1).alias("one")).groupBy("host", "common", "text").agg(F.count("*").alias("beside")).where(F.col("beside") >= TEMPLATE_PAGES)
-    template = beside.join(bodies, "host").where(F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("bodies")).select("host", "common", "text", "beside")
-    every = slim.groupBy("host").agg(F.count("*").alias("blocks"))
-    few = template.groupBy("host").agg(F.sum("beside").alias("same")).join(every, "host").where(F.col("same") <= F.lit(TEMPLATE_PART) * F.col("blocks")).select("host")
-    template = template.join(few, "host").drop("beside")
-    # at most 1 / TEMPLATE_SHARE texts a slot are template, so a host's list is as short as its wrapper
-    return alignment.join(template, ["host", "common"]).groupBy("host").agg(F.sort_array(F.collect_set(F.struct("tree_id", "slot", "text"))).alias("drop"))
+    constant = beside.join(bodies, "host").where(F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("bodies")).select("host", "common", "text")
+    # at most 1 / TEMPLATE_SHARE texts a slot are constant, so a host's list is as short as its wrapper
+    places = stored(alignment.join(constant, ["host", "common"]).select("host", "tree_id", "slot", "text", F.xxhash64("common", "text").alias("block")).distinct(), "constant")
+    listed = places.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("tree_id", "slot", "text", "block"))).alias("drop"))
+    template = places.join(_different(pages, listed), ["host", "block"])
+    return template.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("tree_id", "slot", "text"))).alias("drop"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -291,8 +347,7 @@ def extract(pages: DataFrame) -> DataFrame:
     python_workers(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     wrappers = stored(induce_wrappers(slim), "wrappers")  # its size decides how it is joined
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = slim.withColumn("host", host).join(wrappers, "host", "left").select("page_id", "url", "html", "drop")
+    joined = _with_wrappers(slim, wrappers, "left").select("page_id", "url", "html", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """HTML extraction on hand-written pages and on the test table."""
 
+import random
 import re
 from html import unescape
 
@@ -66,6 +67,32 @@ def test_template_and_odd_rows(spark):
     assert h.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_template_slot_by_slot(spark):
+    def small(i):
+        return f"<body><div><p>All rights belong to us.</p><p>Story number {i} about {i * 7} things.</p><div><p>Part {i}</p></div></div></body>"
+
+    def pieces(i):
+        rng = random.Random(i)
+        return [" ".join(f"w{rng.randrange(500)}" for _ in range(4)) for _ in range(6)]
+
+    def short(i):
+        own = "".join(f"<p>{x}</p>" for x in pieces(i))
+        return f"<body><div><p>Site line.</p><div>{own}</div><p>Printed by us.</p><section><p>Ring us.</p></section></div></body>"
+
+    def edited(i):
+        words = " ".join(f"word{k}" if k != i % 60 else f"other{i}" for k in range(60))
+        return f"<body><div><p>An article's first part.</p><div><p>{words}</p></div></div></body>"
+
+    rows = [(i, f"http://small.example/{i}", small(i)) for i in range(40)]
+    rows += [(100 + i, f"http://short.example/{i}", short(i)) for i in range(40)]
+    rows += [(200 + i, f"http://few.example/{i}", short(i)) for i in range(4)]
+    rows += [(300 + i, f"http://copies.example/{i}", edited(i)) for i in range(60)]
+    by = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Story number {i} about {i * 7} things.\nPart {i}" for i in range(40))
+    assert all(by[100 + i] == "\n".join(pieces(i)) for i in range(40)) and all(by[200 + i] == "\n".join(pieces(i)) for i in range(4))
+    assert all(by[300 + i].startswith("An article's first part.\n") for i in range(60))
+
+
 def test_alignment():
     a = h.Page("<body><div class=x><p>1</p></div><section><h1>a</h1><p>b</p></section></body>").tree()
     b = h.Page("<body><section><h1>a</h1><div>z</div><p>b</p></section></body>").tree()
