@@ -10,6 +10,10 @@ An index key that many lines share is refined: its lines are split into FINE seg
 agree; lines that still share a key are matched by what is left without one character, where the earliest line of a group stands for
 all. So no group's pairs are listed, and no link is lost that decides whether a line stays.
 
+That is the case of one edit, which the query has. For several, lines are split into edits + 1 segments, one of which is unchanged,
+shifted by what was put in or taken out before it: lines probe with all substrings that such a shift allows. All pairs of
+a key are listed there, and verified by a band of that width.
+
 Texts are moved once, into a table bucketed by document, which all later steps join without moving them again.
 """
 
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SEPARATORS, input_bytes, stored
 
-#: Edits within which a line repeats an earlier one, and code points from which a line is compared other than exactly.
+#: Edits within which a line repeats an earlier one, unless told otherwise, and code points from which a line is compared other than exactly.
 EDITS, LEAST_CHARS = 1, 20
 #: Segments of the lines of a key that more than HOT lines index.
 FINE, HOT = 32, 64
@@ -87,6 +91,22 @@ def _ordered(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select(*either).distinct()
 
 
+def _shifted_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """Candidate pairs among ``lines``: those that share a segment, at a place that ``edits`` edits allow."""
+    # (characters less than the probing line, segment, shift): edits before the segment are at most its number, those behind the rest
+    looks = [(d, j, s) for d in range(edits + 1) for j in range(edits + 1) for s in range(max(-j, d - (edits - j)), min(j, d + edits - j) + 1)]
+    places = [(False, 0, j, 0) for j in range(edits + 1)] + [(True, *x) for x in looks]
+    listed = F.expr("array(" + ", ".join(f"struct({str(p).lower()} as probe, {d} as d, {j} as j, {s} as s)" for p, d, j, s in places) + ")")
+    at = lines.select("id", "no", "h", "line", F.length("line").alias("n"), F.explode(listed).alias("x")).select("id", "no", "h", "line", "n", "x.*")
+    at = at.withColumn("l", F.col("n") - F.col("d")).where(F.col("l") >= LEAST_CHARS)
+    at = at.withColumn("start", F.expr(f"cast(j * l div {edits + 1} as int)")).withColumn("size", F.expr(f"cast((j + 1) * l div {edits + 1} as int) - start"))
+    at = at.where("start + s >= 0 and start + s + size <= n")
+    keyed = stored(at.select(F.expr("xxhash64(l, j, substring(line, start + s + 1, size))").alias("key"), "probe", "id", "no", "h"), "line-keys")
+    keys = keyed.groupBy("key").agg(F.max(~F.col("probe")).alias("indexed"), F.min("h").alias("a"), F.max("h").alias("b"))
+    live = stored(keyed.join(keys.where("indexed and a <> b").select("key"), "key").distinct(), "shared-keys")
+    return _ordered(live.where(~F.col("probe")), live)
+
+
 def _lines_of(texts: DataFrame, found: DataFrame, prefix: str = "") -> DataFrame:
     """``found`` with ``line``: the line of number ``no`` and hash ``h`` of document ``id``."""
     return texts.select("id", "text").join(found, F.col("id") == F.col(f"{prefix}id")).withColumn("line", F.get(F.split("text", "\n"), F.col(f"{prefix}no"))).where(F.xxhash64("line") == F.col(f"{prefix}h")).drop("text")
@@ -130,8 +150,19 @@ def _banded(x: str, y: str) -> str:
     return f"transform(array({chars.format(x)}), v -> aggregate({chars.format(y)}, struct(0 as j, 2 as s0, 6 as s1), (s, c) -> {step}, s -> {end}))[0]"
 
 
-def _deduped(docs: DataFrame) -> DataFrame:
+def _candidates(texts: DataFrame, each: DataFrame) -> DataFrame:
+    """Candidate pairs among the lines ``each`` for one edit."""
+    keyed = stored(each.select("id", "no", "h", F.explode(_segment_keys(2)).alias("k")).select("k.*", "id", "no", "h"), "line-keys")
+    coarse, hot = _pairs(keyed)
+    fine, hotter = _pairs(_lines_of(texts, hot.withColumnsRenamed({"id": "l_id", "no": "l_no", "h": "l_h"}), "l_").select("id", F.col("l_no").alias("no"), F.col("l_h").alias("h"), F.explode(_segment_keys(FINE)).alias("k")).select("k.*", "id", "no", "h"))
+    last = _without_one(_lines_of(texts, hotter.withColumnsRenamed({"id": "l_id", "no": "l_no", "h": "l_h"}), "l_").select("id", F.col("l_no").alias("no"), F.col("l_h").alias("h"), "line"))
+    return coarse.union(fine).union(last)
+
+
+def _deduped(docs: DataFrame, edits: int) -> DataFrame:
     """``docs`` with __text (what is left), __lines (those with a word) and __removed."""
+    if not 1 <= edits < LEAST_CHARS:
+        raise ValueError(f"edits must be from 1 to {LEAST_CHARS - 1}, not {edits}")
     largest = (1 << 63) - 1
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("text")]
@@ -144,13 +175,10 @@ def _deduped(docs: DataFrame) -> DataFrame:
     split = texts.select("id", "text").join(owned.withColumnRenamed("id", "o"), F.col("id") == F.col("o"))
     each = split.withColumn("lines", F.split("text", "\n")).select("id", F.explode(F.expr("transform(owned, x -> struct(x.no as no, x.h as h, get(lines, x.no) as line))")).alias("x")).select("id", "x.*")
     each = each.where((F.xxhash64("line") == F.col("h")) & (F.length("line") >= LEAST_CHARS))
-    keyed = stored(each.select("id", "no", "h", F.explode(_segment_keys(EDITS + 1)).alias("k")).select("k.*", "id", "no", "h"), "line-keys")
-    coarse, hot = _pairs(keyed)
-    fine, hotter = _pairs(_lines_of(texts, hot.withColumnsRenamed({"id": "l_id", "no": "l_no", "h": "l_h"}), "l_").select("id", F.col("l_no").alias("no"), F.col("l_h").alias("h"), F.explode(_segment_keys(FINE)).alias("k")).select("k.*", "id", "no", "h"))
-    last = _without_one(_lines_of(texts, hotter.withColumnsRenamed({"id": "l_id", "no": "l_no", "h": "l_h"}), "l_").select("id", F.col("l_no").alias("no"), F.col("l_h").alias("h"), "line"))
-    pairs = coarse.union(fine).union(last).distinct()
+    pairs = (_candidates(texts, each) if edits == 1 else _shifted_pairs(each, edits)).distinct()
     both = _lines_of(texts, _lines_of(texts, pairs, "a_").drop("id").withColumnRenamed("line", "x"), "b_").withColumnRenamed("line", "y")
-    near = both.where("abs(length(x) - length(y)) <= 1").where(F.expr(_within_one_edit("x", "y")))
+    close = _within_one_edit("x", "y") if edits == 1 else f"levenshtein(x, y, {edits}) >= 0"
+    near = both.where(f"abs(length(x) - length(y)) <= {edits}").where(F.expr(close))
     removed = stored(near.select("b_id", "b_no").distinct().groupBy(F.col("b_id").alias("r")).agg(F.collect_list("b_no").alias("gone")), "near-lines")
     found = texts.join(owned.withColumnRenamed("id", "o"), F.col("id") == F.col("o"), "left").join(removed, F.col("id") == F.col("r"), "left").withColumn("lines", F.split("text", "\n"))
     none = F.expr("cast(array() as array<int>)")
@@ -164,22 +192,22 @@ def _deduped(docs: DataFrame) -> DataFrame:
     return out.withColumnsRenamed(back)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Per row: doc_id, n_lines (lines with a word), n_removed and kept_sha256 (of the lines left, joined by newlines).
 
     Lines are what newlines split; of those with a word, one goes if an equal line occurs earlier (smaller doc_id, or earlier
-    in the document), or if its first occurrence has a line within EDITS edits before it, both of LEAST_CHARS code points or
+    in the document), or if its first occurrence has a line within ``edits`` edits before it, both of LEAST_CHARS code points or
     more; lines are judged on the input. Lines without a word stay. Null texts are empty. A null doc_id counts as the
     largest; rows of one doc_id are one document: equal rows get the same result, and a line that differing rows share stays where it has
     the smaller number. Further columns are ignored; an empty table gives an empty one.
     """
-    found = _deduped(docs.select("doc_id", "text"))
+    found = _deduped(docs.select("doc_id", "text"), edits)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.col("__text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with the lines that ``dedup`` leaves as text and their code points as n_chars; same columns, same rows."""
-    found = _deduped(docs)
+    found = _deduped(docs, edits)
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 

@@ -86,3 +86,35 @@ def test_near_lines(spark, monkeypatch, hot):
         clean = line_dedup.cleaned(df)
         assert clean.columns == df.columns and sorted(sha256(r.text.encode()).hexdigest() for r in clean.collect()) == sorted(x[-66:-2] for x in brute(docs))
         assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [2, 4])
+def test_several_edits(spark, most):
+    rng = random.Random(most)
+    base = ["the quick brown fox jumps over it", "été à la plage 😀😀 encore et encore", "ab" * 14, "".join(rng.choice("abcdefgh ") for _ in range(150))]
+    docs = []
+    for i in range(50):
+        lines = []
+        for _ in range(4):
+            line = rng.choice(base)
+            for _ in range(rng.randrange(7)):
+                p = rng.randrange(len(line) + 1)
+                line = line[:p] + rng.choice(["", "z", "é😀"[rng.randrange(2)]]) + line[p + rng.randrange(2) :]
+            lines.append(line)
+        docs.append((i * 13 % 50, "\n".join(lines)))
+    seen, gone = [], 0
+    for _, text in sorted(docs):
+        for line in text.split("\n"):
+            gone += line in seen or len(line) >= 20 and any(len(x) >= 20 and edits(x, line) <= most for x in seen)
+            seen.append(line)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    per = {r.doc_id: r.n_removed for r in line_dedup.dedup(df, most).collect()}
+    kept = []
+    seen = []
+    for k, text in sorted(docs):
+        left = [x for x in text.split("\n") if not (x in seen or seen.append(x)) and not (len(x) >= 20 and any(len(y) >= 20 and edits(x, y) <= most for y in seen[:-1]))]
+        kept.append((k, sha256("\n".join(left).encode()).hexdigest()))
+    assert sum(per.values()) == gone > sum(r.n_removed for r in line_dedup.dedup(df).collect())
+    assert sorted((r.doc_id, r.kept_sha256) for r in line_dedup.dedup(df, most).collect()) == kept
+    with pytest.raises(ValueError):
+        line_dedup.cleaned(df, 20)
