@@ -130,6 +130,11 @@ def render_lines(spark, sf_dir):
     return numbered(spark, sf_dir).where(F.col("offset") < 50).select("topic", render.entry_line(F.col("offset"), F.col("content")).alias("line"))
 
 
+def render_log(spark, sf_dir):
+    """Every entry of every topic."""
+    return numbered(spark, sf_dir).select("topic", render.entry_line(F.col("offset"), F.col("content")).alias("line"))
+
+
 def render_index(spark, sf_dir):
     return sparse_index(spark, sf_dir).select("topic", "block", render.index_line(F.col("offset"), F.col("byte_offset")).alias("line"))
 
@@ -217,7 +222,7 @@ def stream_tail_replay(spark, sf_dir):
 
 QUERIES = [
     topic_list, assign_offsets, read_from_offset, read_at_end_empty, write_batches, frame_sizes, block_rollover, block_info, topic_status, byte_offsets, sparse_index, offset_to_block, index_lookup, scan_count, index_head,
-    unindexed_blocks, read_batches, contiguity_check, render_lines, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_offsets_stateful, stream_tail_replay,
+    unindexed_blocks, read_batches, contiguity_check, render_lines, render_log, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_offsets_stateful, stream_tail_replay,
 ]
 
 
@@ -270,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "contiguity_check": f"""with recursive {_BLOCKED}, part as (select topic, block, "offset", lag("offset") over (partition by topic, block order by "offset") as previous from blk where "offset" % 50 <> 3)
             select * from part where "offset" - previous <> 1 or (previous is null and "offset" <> block)""",
         "render_lines": f"with {_LOG} select topic, concat(\"offset\", chr(9), content) as line from log where \"offset\" < 50",
+        "render_log": f"with {_LOG} select topic, concat(\"offset\", chr(9), content) as line from log",
         "render_index": f"with recursive {_INDEX} select topic, block, concat(\"offset\", ' -> ', byte_offset) as line from idx",
         "render_blocks": f"with recursive {_INFO} select topic, concat(row_number() over (partition by topic order by block) - 1, ' -> ', block) as line from info",
         "le_encode_offset": f'with {_LOG} select topic, "offset", {_hex_le(chr(34) + "offset" + chr(34), 8)} as le64, {_hex_le("byte_size", 4)} as le32 from log',

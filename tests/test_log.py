@@ -130,5 +130,11 @@ def test_queries_equal_their_sql(spark, sf_dir):
         assert sorted(repr(tuple(r)) for r in got) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall()), name
 
 
+def test_whole_log_is_rendered(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    got = queries.render_log(spark, sf_dir)
+    assert got.distinct().count() == got.count() == events.count() > queries.render_lines(spark, sf_dir).count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(queries.queries()) <= set(__spark_entry__.queries())
