@@ -108,6 +108,27 @@ def scan_count(spark, sf_dir):
     return index.scan_counts(_looked_up(spark, sf_dir))
 
 
+def _every(rows: DataFrame) -> DataFrame:
+    return rows.select("topic", F.col("offset").alias("target"))
+
+
+def offset_to_block_all(spark, sf_dir):
+    """Every offset, and the one beyond the end of each topic."""
+    rows = stored(blocked(spark, sf_dir).drop("content"), "log")
+    beyond = rows.groupBy("topic").agg((F.max("offset") + 1).alias("target"))
+    return index.find_blocks(_every(rows).unionByName(beyond), log.block_info(rows))
+
+
+def index_lookup_all(spark, sf_dir):
+    """Every offset; the one beyond the end has no block to look in."""
+    rows = stored(blocked(spark, sf_dir).drop("content"), "log")
+    return index.nearest_entry(index.find_blocks(_every(rows), log.block_info(rows)), index.sparse_index(rows, EVERY))
+
+
+def scan_count_all(spark, sf_dir):
+    return index.scan_counts(index_lookup_all(spark, sf_dir))
+
+
 def index_head(spark, sf_dir):
     return index.index_head(sparse_index(spark, sf_dir))
 
@@ -126,6 +147,11 @@ def contiguity_check(spark, sf_dir):
     return log.contiguity_violations(rows)
 
 
+def contiguity_check_all(spark, sf_dir):
+    """The log as it is: no rows unless it has gaps."""
+    return log.contiguity_violations(blocked(spark, sf_dir))
+
+
 def render_lines(spark, sf_dir):
     return numbered(spark, sf_dir).where(F.col("offset") < 50).select("topic", render.entry_line(F.col("offset"), F.col("content")).alias("line"))
 
@@ -221,8 +247,8 @@ def stream_tail_replay(spark, sf_dir):
 
 
 QUERIES = [
-    topic_list, assign_offsets, read_from_offset, read_at_end_empty, write_batches, frame_sizes, block_rollover, block_info, topic_status, byte_offsets, sparse_index, offset_to_block, index_lookup, scan_count, index_head,
-    unindexed_blocks, read_batches, contiguity_check, render_lines, render_log, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_offsets_stateful, stream_tail_replay,
+    topic_list, assign_offsets, read_from_offset, read_at_end_empty, write_batches, frame_sizes, block_rollover, block_info, topic_status, byte_offsets, sparse_index, offset_to_block, index_lookup, scan_count, offset_to_block_all, index_lookup_all, scan_count_all, index_head,
+    unindexed_blocks, read_batches, contiguity_check, contiguity_check_all, render_lines, render_log, render_index, render_blocks, le_encode_offset, frame_encode_crc32c, frame_roundtrip, text_lines_ingest, write_status, store_append, stream_offsets, stream_offsets_stateful, stream_tail_replay,
 ]
 
 
@@ -244,6 +270,9 @@ _FOUND = f"""{_INDEX}, tgt as (select topic, block, "offset" as target from blk
     found as (select t.topic, t.block, t.target, coalesce(max(i."offset"), 0) as index_offset, coalesce(arg_max(i.byte_offset, i."offset"), 0) as byte_offset
         from tgt t left join idx i on i.topic = t.topic and i.block = t.block and i."offset" <= t.target group by 1, 2, 3)"""
 
+_FOUND_ALL = f"""{_INDEX}, found as (select t.topic, t.block, t."offset" as target, coalesce(max(i."offset"), 0) as index_offset, coalesce(arg_max(i.byte_offset, i."offset"), 0) as byte_offset
+        from blk t left join idx i on i.topic = t.topic and i.block = t.block and i."offset" <= t."offset" group by 1, 2, 3)"""
+
 
 def _hex_le(x: str, size: int) -> str:
     digits = f"lpad(to_hex({x}), {2 * size}, '0')"
@@ -267,6 +296,9 @@ def oracle_sql() -> dict[str, str]:
         "offset_to_block": f'with recursive {_BLOCKED} select topic, "offset" as target, block from blk where "offset" % 7 = 0 union all select topic, max("offset") + 1, null from blk group by 1',
         "index_lookup": f"with recursive {_FOUND} select * from found",
         "scan_count": f"with recursive {_FOUND} select topic, block, target, target - case when index_offset = 0 then block else index_offset end as scanned from found",
+        "offset_to_block_all": f'with recursive {_BLOCKED} select topic, "offset" as target, block from blk union all select topic, max("offset") + 1, null from blk group by 1',
+        "index_lookup_all": f"with recursive {_FOUND_ALL} select * from found",
+        "scan_count_all": f"with recursive {_FOUND_ALL} select topic, block, target, target - case when index_offset = 0 then block else index_offset end as scanned from found",
         "index_head": f'with recursive {_INDEX} select topic, block, max("offset") as "offset", arg_max(byte_offset, "offset") as byte_offset from idx group by 1, 2',
         "unindexed_blocks": f"""with recursive {_BYTES}, sparse as (select distinct topic, block from bo where "offset" % 150 = 0 and "offset" <> block)
             select topic, block from info where (topic, block) not in (select (topic, block) from sparse) union select topic, max(block) from info group by 1""",
@@ -274,6 +306,8 @@ def oracle_sql() -> dict[str, str]:
             from blk where "offset" >= {START} group by 1, 2, 3""",
         "contiguity_check": f"""with recursive {_BLOCKED}, part as (select topic, block, "offset", lag("offset") over (partition by topic, block order by "offset") as previous from blk where "offset" % 50 <> 3)
             select * from part where "offset" - previous <> 1 or (previous is null and "offset" <> block)""",
+        "contiguity_check_all": f"""with recursive {_BLOCKED}, part as (select topic, block, "offset", lag("offset") over (partition by topic, block order by "offset") as previous from blk)
+            select * from part where "offset" - previous <> 1 or (previous is null and "offset" <> block)""",
         "render_lines": f"with {_LOG} select topic, concat(\"offset\", chr(9), content) as line from log where \"offset\" < 50",
         "render_log": f"with {_LOG} select topic, concat(\"offset\", chr(9), content) as line from log",
         "render_index": f"with recursive {_INDEX} select topic, block, concat(\"offset\", ' -> ', byte_offset) as line from idx",

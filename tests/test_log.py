@@ -136,5 +136,14 @@ def test_whole_log_is_rendered(spark, sf_dir):
     assert got.distinct().count() == got.count() == events.count() > queries.render_lines(spark, sf_dir).count()
 
 
+def test_every_offset_is_looked_up(spark, sf_dir):
+    rows = queries.numbered(spark, sf_dir).select("topic", "offset")
+    n, topics = rows.count(), rows.select("topic").distinct().count()
+    assert queries.offset_to_block_all(spark, sf_dir).distinct().count() == n + topics
+    for query in (queries.index_lookup_all, queries.scan_count_all):
+        assert query(spark, sf_dir).select("topic", F.col("target").alias("offset")).exceptAll(rows).count() == 0 and query(spark, sf_dir).count() == n
+    assert queries.contiguity_check_all(spark, sf_dir).count() == 0 < queries.contiguity_check(spark, sf_dir).count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(queries.queries()) <= set(__spark_entry__.queries())
