@@ -29,7 +29,7 @@ def test_model_equals_library():
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("abcdefghijklmnoprst'  eéß1!<|") for _ in range(rng.randrange(200))) for _ in range(300)]
     for text in texts:
-        ids = [i for x in model.encode_pieces([p.decode() for p in text.encode().split()]) for i in x]
+        ids = model.encode(text)
         expected = lib.encode(text, add_special_tokens=False).ids
         assert ids == expected, text
         assert model.decode(ids) == lib.decode(expected, skip_special_tokens=False)
@@ -39,7 +39,7 @@ def test_model_equals_library():
 @given(st.text(max_size=60))
 def test_any_text(text):
     model, lib = bpe._model(queries.tokenizer_path()), library_once()
-    assert [i for x in model.encode_pieces([p.decode() for p in text.encode().split()]) for i in x] == lib.encode(text, add_special_tokens=False).ids
+    assert model.encode(text) == lib.encode(text, add_special_tokens=False).ids
 
 
 _LIB = []
@@ -87,7 +87,30 @@ def test_whole_table(spark, sf_dir):
     assert got == {k: (len(x), sha256(" ".join(map(str, x)).encode()).hexdigest(), sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for k, x in enc.items()}
 
 
+def test_small_caches_and_slices(monkeypatch):
+    """Words forgotten in between, texts over several slices, and ranks merged by arrays and by steps give the same."""
+    lib = library_once()
+    rng = random.Random(4)
+    texts = ODD + [" ".join(rng.choice(["the", "theré", "Ünter", "a,b", "日本", "<|endoftext|>", "zz" * 40, "9", f"w{i}", f"tion{i % 7}"]) for i in range(rng.randrange(400))) for _ in range(40)]
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    for entries, size, segment, bulk in ((5, 50, 20, 1), (300, 500, 64, 3), (10_000, 1 << 20, 1 << 20, 1 << 30)):
+        monkeypatch.setattr(bpe, "CACHE_ENTRIES", entries)
+        monkeypatch.setattr(bpe, "SLICE_CHARS", size)
+        monkeypatch.setattr(bpe, "SEGMENT_CHARS", segment)
+        monkeypatch.setattr(bpe, "BULK", bulk)
+        model = bpe.PairIndexBPE(queries.tokenizer_path())
+        got: list[list] = [[] for _ in texts]
+        for held in bpe.slices(texts):
+            for (i, _), (ids, tokens) in zip(held, model.look_up([x for _, x in held]), strict=True):
+                got[i] += [int(x) for x in ids.split()]
+                assert tokens.decode() == model.decode([int(x) for x in ids.split()])
+            assert len(model.code) <= max(entries, len(set(w for _, x in held for w in model.words(x))) + entries)
+        assert got == want
+
+
 def test_segments():
+    parts = list(bpe.segments("ab cd " * 1000 + "x" * 500 + " y", 64))
+    assert "".join(parts) == "ab cd " * 1000 + "x" * 500 + " y" and max(map(len, parts)) <= 600
     text = b"ab cd " * 1000 + b"x" * 500 + b" y"
     parts = list(token_counts.segments(text, 64))
     assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
