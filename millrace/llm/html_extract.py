@@ -1,20 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-A page becomes a tree of labels (element and class names), runs of equal siblings folded into one. For each host the
-commonest tree is the reference; simple tree matching aligns every other tree with it, so that text blocks of all pages
-fall into common slots. A block whose text stays the same while the articles around it differ is template, slot by slot;
-the varying slots of the article are content. Navigation, advertising, comments and the like are known by element, role and class names.
+A page becomes blocks of text and a tree of labels (element and class names), runs of equal siblings folded into one. For each
+host the commonest tree is the reference; simple tree matching aligns every other tree with it, so that text blocks of all
+pages fall into common slots. A block whose text stays the same while the articles around it differ is template, slot by
+slot; the varying slots of the article are content. What is no article by its element or role (navigation, forms, hidden
+parts) is left out before; class names are hints, of which the weak ones need a second sign.
 
-The host's pages are never gathered: trees and slot texts are aggregated first, and what a host's wrapper says goes back to
-its pages by a join.
+Each page is parsed once, into a written table; trees, slots and verdicts are small tables beside it, joined by host and tree.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,16 @@ TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.8
 #: Articles are told apart by min-hashes of what is left without such blocks: bodies that agree in half of them count once, and so do
 #: all that have fewer words left.
 SKETCH, OWN_WORDS = 32, 5
+#: An article element is a mere teaser if what is outside has so many times its text.
+OUTSIDE = 4
+#: Rows of an Arrow batch that are in hand as Python objects at once; trees that a task remembers to have written.
+ROWS, TOLD = 512, 100_000
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript template iframe xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = set("nav footer aside form button select option dialog menu svg canvas object audio video map math head fieldset input label".split())
+DROPPED = set("nav footer aside button select option dialog menu svg canvas object audio video head fieldset".split())
 CLOSES_P = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An element that opens ends these, up to the nearest of the second set.
 ENDS = {
@@ -47,15 +52,19 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 BAD_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-BAD_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply reviews related recommended recommendations "
-    "share sharing social pagination pager toolbar widget widgets skip hidden".split()
-)
-#: Names that begin so are meant too.
-BAD_STEMS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "popup", "promo", "sidebar", "sponsor")
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Class names and ids of what is no article; names that begin or end with one of STRONG_PARTS are meant too.
+STRONG_NAMES = set("ad ads adv adslot adsense nav navbar navigation menu menus footer masthead gdpr consent modal overlay disqus respond replies".split())
+STRONG_PARTS = ("advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "newsletter", "popup", "promo", "promotion", "sidebar", "sidebars", "sponsor", "sponsored")
+#: Names that say so only of what is mostly links, or is template by its slot.
+WEAK_NAMES = set("banner header notice notices notification alert subscribe subscription signup login reply reviews related recommended recommendations share sharing social pagination pager toolbar widget widgets skip".split())
+#: Names of elements with text of their own, which may say what the text is about.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
+#: A part of a name that says what the element goes with.
+BESIDE = set("with has no without have".split())
+
+_SPECIAL = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -67,82 +76,162 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _strong(names: str) -> bool:
+    for token in names.split():
+        parts = [x.lower() for x in _SPLIT.split(token) if x]
+        if not parts or not BESIDE.isdisjoint(parts):
+            continue
+        if "".join(parts) in STRONG_NAMES or parts[0] in STRONG_PARTS or parts[-1] in STRONG_PARTS:
+            return True
+    return False
+
+
+def _weak(names: str) -> bool:
+    return any(not WEAK_NAMES.isdisjoint(p := [x.lower() for x in _SPLIT.split(token)]) and BESIDE.isdisjoint(p) for token in names.split())
+
+
+@dataclass
+class Region:
+    """An element that may be no article: what its characters tell decides."""
+
+    kind: str  # form, strong or weak
+    above: int  # region around it, -1 for none
+    chars: int = 0
+    linked: int = 0
+    holds: bool = False  # the page's first article, or a heading of a page in a form
+
+
+class Node:
+    """An element of the folded tree."""
+
+    __slots__ = ("label", "children", "slot", "seen")
+
+    def __init__(self, label: str, slot: int):
+        self.label, self.slot, self.children, self.seen = label, slot, [], {}
+
+    def child(self, label: str) -> Node:
+        """The last child, if it has the label, else a new one: its slot is its path, with its number among equal ones."""
+        if self.children and self.children[-1].label == label:
+            return self.children[-1]
+        n = self.seen[label] = self.seen.get(label, -1) + 1
+        self.children.append(Node(label, _slot(self.slot, label, n)))
+        return self.children[-1]
+
+
+def _slot(above: int, label: str, n: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}/{label}/{n}") - (1 << 63)
+
+
 class Page:
-    """Blocks of a page: ``blocks`` has (slot, in the article, text), ``tree`` the folded tree of labels."""
+    """Blocks of a page, each (slot, text), and the folded tree of labels. No step recurses, and none looks twice at a character."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.root: list = ["", []]
-        # open elements: name, node, path, whether dropped (by what it is, or by its name), inside an article
-        self.open: list[tuple[str, list, str, str, bool]] = [("", self.root, "", "", False)]
+        self.root = Node("", 0)
+        self.regions: list[Region] = []
+        #: slot, region, whether in an article, characters, characters in links, text
+        self.found: list[tuple[int, int, bool, int, int, str]] = []
+        # open elements: name, node, region, whether dropped, inside an article
+        self.open: list[tuple[str, Node, int, bool, bool]] = [("", self.root, -1, False, False)]
+        self.names: Counter = Counter()
         self.text: list[str] = []
-        self.articles = 0
+        self.linked = self.link = self.articles = 0
         at, size = 0, len(source)
+        last, quotes = source.rfind(">"), True
         while at < size:
-            m = _TAG.search(source, at)
-            if m is None:
+            start = source.find("<", at)
+            if start < 0:
                 self._add(source[at:])
                 break
-            if m.start() > at:
-                self._add(source[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if not name:
+            if start > at:
+                self._add(source[at:start])
+            at = start
+            if m := _SPECIAL.match(source, at):
+                at = m.end()
                 continue
-            name = name.lower()
-            if m[1]:
-                self._end(name)
+            m = _NAME.match(source, at)
+            if m is None or last < at:  # a tag that nothing ends is text
+                self._add("<")
+                at += 1
                 continue
-            if name in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            closing, name = m[1], m[2].lower()
+            rest = _REST.match(source, m.end()) if quotes else None
+            if rest is None:  # a quote that nothing ends: from here on tags end at the next bracket
+                quotes = False
+                end = source.index(">", at)
+                rest, at = source[m.end() : end], end + 1
+            else:
+                at, rest = rest.end(), rest[1]
+            if closing:
+                self._end(name)
+            elif name in RAW and not rest.endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else size
-                continue
-            self._start(name, m[3])
+            else:
+                self._start(name, rest)
         self._flush()
 
     def _add(self, text: str) -> None:
         if not self.open[-1][3]:
             self.text.append(text)
+            if self.link:
+                self.linked += len(text)
 
     def _flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
-            self.text = []
             if text:
-                _, _, path, _, article = self.open[-1]
-                self.blocks.append((path, article, text))
+                _, node, region, _, article = self.open[-1]
+                chars, linked = len(text), min(self.linked, len(text))
+                self.found.append((node.slot, region, article, chars, linked, text))
+                if region >= 0:
+                    self.regions[region].chars += chars
+                    self.regions[region].linked += linked
+            self.text, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
         self._flush()
+        self.names.subtract(x[0] for x in self.open[to:])
         del self.open[to:]
+        if self.link >= to:
+            self.link = 0
+
+    def _held(self, region: int, forms_only: bool) -> None:
+        while region >= 0 and not self.regions[region].holds:
+            if not forms_only or self.regions[region].kind == "form":
+                self.regions[region].holds = True
+            region = self.regions[region].above
 
     def _start(self, name: str, rest: str) -> None:
         attrs = {a.lower(): (x or y or z) for a, x, y, z in _ATTR.findall(rest)} if "=" in rest or "hidden" in rest else {}
         role = attrs.get("role", "").lower()
         bad = "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in BAD_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        named = False
         main = name in ("article", "main") or role == "main"
-        label = name
         names = " ".join(attrs.get(x, "") for x in ("class", "id"))
-        if names.strip():
-            parts = sorted({x.lower() for x in _SPLIT.split(names) if x})
-            named = name not in ("html", "body") and not (main and not self.articles) and (not BAD_NAMES.isdisjoint(parts) or any(p.startswith(BAD_STEMS) for p in parts))
-            label = ".".join([name, *parts])
+        parts = sorted({x.lower() for x in _SPLIT.split(names) if x})
+        label = ".".join([name, *parts])
+        hint = ""
+        if parts and name not in ("html", "body") and not (main and not self.articles):
+            hint = "strong" if _strong(names) else "weak" if name not in INLINE and name not in TEXTUAL and _weak(names) else ""
         if name == "br":
             self.text.append(" ")
             return
-        if name in INLINE and not (bad or named or name in DROPPED):
-            return
-        if name not in INLINE:
+        if name in INLINE:
+            # names of inline elements are often those of code, or of what a word is about
+            advert = hint == "strong" and any(p == "ad" or p == "ads" or p.startswith(("advert", "sponsor")) for p in parts)
+            if name == "a" and not bad:
+                self.link = len(self.open)
+            if name in VOID or not (bad or advert):
+                return
+        else:
             self._flush()
-            if name in CLOSES_P:
+            if name in CLOSES_P and self.names["p"] > 0:
                 for i in range(len(self.open) - 1, 0, -1):
                     if self.open[i][0] == "p":
                         self._pop(i)
                         break
                     if self.open[i][0] not in INLINE and self.open[i][0] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
                         break
-            if name in ENDS:
+            if name in ENDS and any(self.names[x] > 0 for x in ENDS[name][0]):
                 closing, fence = ENDS[name]
                 for i in range(len(self.open) - 1, 0, -1):
                     if self.open[i][0] in fence:
@@ -150,86 +239,158 @@ class Page:
                     if self.open[i][0] in closing:
                         self._pop(i)
                         break
-        if name in VOID or rest.endswith("/") and name in INLINE:
+            if name in VOID:
+                return
+        _, parent, region, dropped, article = self.open[-1]
+        if rest.endswith("/") and name in INLINE:
             return
-        _, parent, path, dropped, article = self.open[-1]
-        if not parent[1] or parent[1][-1][0] != label:
-            parent[1].append([label, []])
-        bad = bad or name in DROPPED or name == "header" and not article
-        # an article within an element of such a name ("with-sidebar") counts, if it is the page's first
-        drop = "yes" if bad or dropped == "yes" else "" if main and not self.articles else "named" if named or dropped else ""
-        self.articles += main and not drop
-        self.open.append((name, parent[1][-1], f"{path}/{label}", drop, article or main))
+        dropped = dropped or bad or name in DROPPED or name == "header" and not article or name in INLINE
+        if not dropped:
+            kind = "form" if name == "form" else hint
+            if main and not self.articles:
+                self._held(region, False)
+            if main:
+                self.articles += 1
+            if name == "h1":
+                self._held(region, True)
+            if kind:
+                self.regions.append(Region(kind, region))
+                region = len(self.regions) - 1
+        self.names[name] += 1
+        self.open.append((name, parent.child(label), region, dropped, article or main))
 
     def _end(self, name: str) -> None:
         if name == "br":
             self.text.append(" ")
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == name:
-                self._pop(i)
-                return
-            if name in INLINE and self.open[i][0] not in INLINE:
-                return
+        if name == "a":
+            self.link = 0
+        if self.names[name] > 0:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i][0] == name:
+                    self._pop(i)
+                    return
+                if name in INLINE and self.open[i][0] not in INLINE:
+                    return
         if name not in INLINE:
             self._flush()
 
-    def candidates(self) -> list[tuple[str, str]]:
-        """(slot, text) of the blocks in article or main elements if there are any, else of all that were not dropped."""
-        inside = [(s, t) for s, article, t in self.blocks if article]
-        return inside or [(s, t) for s, _, t in self.blocks]
+    def candidates(self) -> list[tuple[int, str]]:
+        """(slot, text) of the blocks that may be the article's: those in article or main elements, unless what is outside
+        them has over OUTSIDE times as much text that is no link."""
+        for r in reversed(self.regions):
+            if r.above >= 0:
+                self.regions[r.above].chars += r.chars
+                self.regions[r.above].linked += r.linked
+        out: list[bool] = []
+        for r in self.regions:
+            own = not r.holds and (r.kind != "weak" or 2 * r.linked >= r.chars)
+            out.append(own or r.above >= 0 and out[r.above])
+        sides: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        prose = {True: 0, False: 0}
+        for slot, region, article, chars, linked, text in self.found:
+            if region < 0 or not out[region]:
+                sides[article].append((slot, text))
+                prose[article] += chars - linked
+        return sides[bool(sides[True]) and OUTSIDE * prose[True] >= prose[False]]
 
     def tree(self) -> str:
-        return json.dumps(self.root[1], separators=(",", ":"), ensure_ascii=False)
-
-
-def _matching(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching of two nodes: the number of matched nodes and the matched pairs of children, nested."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[1], b[1]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            inner[i, j] = _matching(p, q)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner[i, j][0])
-    pairs = []
-    i, j = len(x), len(y)
-    while i and j:
-        if inner[i - 1, j - 1][0] and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            pairs.append((i - 1, j - 1, inner[i - 1, j - 1][1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
-
-
-def align(tree: str, reference: str) -> dict[str, str]:
-    """Slots of ``tree``: the slots of ``reference`` that they match, by simple tree matching; their own names else."""
-    a, b = ["", json.loads(tree)], ["", json.loads(reference)]
-    found: dict[str, str] = {}
-
-    def name(node: list, path: str, other: list | None, other_path: str, pairs: list) -> None:
-        with_ = {i: (j, inner) for i, j, inner in pairs}
-        seen: dict[str, int] = {}
-        for i, child in enumerate(node[1]):
-            here = f"{path}/{child[0]}"
-            if i in with_:
-                j, inner = with_[i]
-                before = sum(x[0] == other[1][j][0] for x in other[1][:j])
-                there = f"{other_path}/{other[1][j][0]}" + (f"[{before}]" if before else "")
-                found.setdefault(here, there)
-                name(child, here, other[1][j], there, inner)
+        """A line for each node, parents before children: depth and label."""
+        lines, todo = [], [(0, x) for x in reversed(self.root.children)]
+        while todo:
+            depth, node = todo.pop()
+            lines.append(f"{depth} {node.label}")
+            todo += [(depth + 1, x) for x in reversed(node.children)]
+        return "\n".join(lines)
+
+
+class Tree:
+    """A tree read back: by node (0 is the root) its label, children, slot, size and hash of all below."""
+
+    def __init__(self, text: str):
+        self.label, self.children, self.slot = [""], [[]], [0]
+        path = [0]
+        seen: list[dict[str, int]] = [{}]
+        for line in text.split("\n") if text else ():
+            depth, _, label = line.partition(" ")
+            del path[int(depth) + 1 :]
+            above, here = path[-1], len(self.label)
+            n = seen[above][label] = seen[above].get(label, -1) + 1
+            self.label.append(label)
+            self.children.append([])
+            self.slot.append(_slot(self.slot[above], label, n))
+            self.children[above].append(here)
+            seen.append({})
+            path.append(here)
+        self.size, self.hash = [1] * len(self.label), [0] * len(self.label)
+        for i in range(len(self.label) - 1, -1, -1):
+            self.size[i] += sum(self.size[c] for c in self.children[i])
+            self.hash[i] = xxhash.xxh3_64_intdigest(f"{self.label[i]} {[self.hash[c] for c in self.children[i]]}")
+
+
+def _differing(a: Tree, b: Tree, i: int, j: int) -> tuple[list[int], list[int], int]:
+    """The children of two nodes without the equal ones that both begin and end with, and how many both begin with.
+
+    Matching equal first (or last) children with each other is never worse than another matching."""
+    x, y = a.children[i], b.children[j]
+    first = 0
+    while first < min(len(x), len(y)) and a.hash[x[first]] == b.hash[y[first]]:
+        first += 1
+    last = 0
+    while last < min(len(x), len(y)) - first and a.hash[x[-1 - last]] == b.hash[y[-1 - last]]:
+        last += 1
+    return x[first : len(x) - last], y[first : len(y) - last], first
+
+
+def align(tree: str, reference: str) -> dict[int, int]:
+    """Slots of ``tree``: the slots of ``reference`` that they match, by simple tree matching; ones of their own else."""
+    a, b = Tree(tree), Tree(reference)
+    needed, todo = {(0, 0): 0}, [(0, 0)]
+    for i, j in todo:  # grows: pairs of nodes, those of their children after them
+        x, y, _ = _differing(a, b, i, j)
+        for p in x:
+            for q in y:
+                if a.label[p] == b.label[q] and a.hash[p] != b.hash[q] and (p, q) not in needed:
+                    needed[p, q] = 0
+                    todo.append((p, q))
+
+    def weight(p: int, q: int) -> int:
+        return a.size[p] if a.hash[p] == b.hash[q] else needed.get((p, q), 0)
+
+    def table(x: list[int], y: list[int]) -> list[list[int]]:
+        best = [[0] * (len(y) + 1)]
+        for p in x:
+            row, above = [0], best[-1]
+            for k, q in enumerate(y):
+                row.append(max(above[k + 1], row[k], above[k] + weight(p, q)))
+            best.append(row)
+        return best
+
+    for i, j in reversed(todo):
+        x, y, _ = _differing(a, b, i, j)
+        equal = sum(a.size[c] for c in a.children[i]) - sum(a.size[c] for c in x)
+        needed[i, j] = 1 + equal + table(x, y)[-1][-1]
+    found: dict[int, int] = {}
+    pairs = [(0, 0)]
+    while pairs:
+        i, j = pairs.pop()
+        found[a.slot[i]] = b.slot[j]
+        x, y, first = _differing(a, b, i, j)
+        pairs += zip(a.children[i][:first], b.children[j][:first], strict=True)
+        if rest := len(a.children[i]) - first - len(x):
+            pairs += zip(a.children[i][-rest:], b.children[j][-rest:], strict=True)
+        best = table(x, y)
+        n, m = len(x), len(y)
+        while n and m:
+            w = weight(x[n - 1], y[m - 1])
+            if w and best[n][m] == best[n - 1][m - 1] + w:
+                pairs.append((x[n - 1], y[m - 1]))
+                n, m = n - 1, m - 1
+            elif best[n][m] == best[n - 1][m]:
+                n -= 1
             else:
-                found.setdefault(here, f"{here}!")
-                name(child, here, None, f"{here}!", [])
-            seen[child[0]] = 1
-
-    name(a, "", b, "", _matching(a, b)[1])
-    return found
+                m -= 1
+    return {s: found[s] if s in found else _slot(s, "own") for s in a.slot[1:]}
 
 
 def _hash(text: str) -> int:
@@ -252,29 +413,55 @@ def sketch(blocks: list[str]) -> list[int] | None:
     return least.view(np.int64).tolist()
 
 
-def _with_wrappers(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.withColumn("host", host).join(wrappers, "host", how)
+def parsed(pages: DataFrame) -> DataFrame:
+    """Per page: page_id, url, host, tree_id, tree (once a task at least), body (hash of its candidates), blocks."""
+    python_workers(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[str, int]] = set()
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            hosts, ids, trees, bodies, ends = [], [], [], [], [0]
+            slots, hashes, texts = [], [], []
+            for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                page = Page(source)
+                blocks = page.candidates()
+                tree = page.tree()
+                key = host_of(url), _hash(tree)
+                hosts.append(key[0])
+                ids.append(key[1])
+                trees.append(None if key in told else tree)
+                if len(told) < TOLD:
+                    told.add(key)
+                bodies.append(_hash("\n".join(t for _, t in blocks)))
+                slots += [x for x, _ in blocks]
+                texts += [t for _, t in blocks]
+                hashes += [_hash(t) for _, t in blocks]
+                ends.append(len(slots))
+            inner = pa.StructArray.from_arrays([pa.array(slots, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], ["slot", "hash", "text"])
+            columns = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(trees, pa.string()), pa.array(bodies, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "tree_id", "tree", "body", "blocks"])
+
+    schema = "page_id long, url string, host string, tree_id long, tree string, body long, blocks array<struct<slot: long, hash: long, text: string>>"
+    return pages.mapInArrow(run, schema)
 
 
-def _different(pages: DataFrame, constant: DataFrame) -> DataFrame:
-    """(host, block): of the ``constant`` blocks (host, drop) those that stand beside enough different articles."""
+def _different(pages: DataFrame, places: DataFrame) -> DataFrame:
+    """(host, block): of the constant blocks at ``places`` (host, tree_id, slot, text, block) those that stand beside enough different articles."""
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies, sketches, found = [], [], []
-            for source, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                page = Page(source)
-                tree = _hash(page.tree())
-                known = {(x["slot"], x["text"]): x["block"] for x in drop if x["tree_id"] == tree}
-                blocks = [(known.get((s, _hash(t))), t) for s, t in page.candidates()]
-                bodies.append(_hash("\n".join(t for _, t in blocks)))
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            sketches, found = [], []
+            for blocks, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                known = {(x["slot"], x["text"]): x["block"] for x in drop or ()}
+                blocks = [(known.get((x["slot"], x["hash"])), x["text"]) for x in blocks]
                 sketches.append(sketch([t for b, t in blocks if b is None]))
                 found.append(sorted({b for b, _ in blocks if b is not None}))
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.int64()), pa.array(sketches, lists), pa.array(found, lists)], ["host", "body", "sketch", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketches, lists), pa.array(found, lists)], ["host", "body", "sketch", "blocks"])
 
-    rows = _with_wrappers(pages, constant, "inner").select("host", "html", "drop").mapInArrow(left, "host string, body long, sketch array<long>, blocks array<long>")
+    listed = places.groupBy("host", "tree_id").agg(F.collect_list(F.struct("slot", "text", "block")).alias("drop"))
+    of_hosts = pages.join(places.select("host").distinct(), "host", "left_semi").join(listed, ["host", "tree_id"], "left")
+    rows = of_hosts.select("host", "body", "blocks", "drop").mapInArrow(left, "host string, body long, sketch array<long>, blocks array<long>")
     bodies = stored(rows.distinct(), "bodies")
     values = bodies.where("sketch is not null").select("host", "sketch").distinct().withColumn("id", F.xxhash64("sketch")).select("host", "id", F.posexplode("sketch").alias("i", "value"))
     sizes = values.groupBy("host", "i", "value").agg(F.count("*").alias("n"))
@@ -290,32 +477,19 @@ def _different(pages: DataFrame, constant: DataFrame) -> DataFrame:
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """Per host that has template blocks: ``drop``, an array of structs (tree, slot, text) of hashes to leave out."""
-    python_workers(pages.sparkSession)
+    """Per host and tree that have template blocks: ``drop``, an array of structs (slot, text) of hashes to leave out.
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "tree", "tree_id", "slot", "text", "body"]
-        for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(source)
-                found = page.candidates()
-                tree = page.tree()
-                row = [host_of(url), tree, _hash(tree), None, None, _hash("\n".join(t for _, t in found))]
-                for slot, text in sorted({(s, _hash(t)) for s, t in found}):
-                    row[3:5] = slot, text
-                    for c, x in zip(columns, row, strict=True):
-                        c.append(x)
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    found = pages.select("url", "html").mapInArrow(slots, "host string, tree string, tree_id long, slot string, text long, body long")
-    seen = stored(found.groupBy("host", "tree_id", "slot", "text", "body").agg(F.min("tree").alias("tree"), F.count("*").alias("n")), "slots")
-    trees = seen.groupBy("host", "tree_id").agg(F.min("tree").alias("tree"), F.sum("n").alias("n"))
+    ``pages`` is what ``parsed`` gives, as a written table. A tree's list is at most as long as the tree, times 1 / TEMPLATE_SHARE.
+    """
+    bodies = pages.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("bodies")).where(F.col("bodies") >= TEMPLATE_PAGES)
+    bodies = stored(bodies, "hosts")
+    some = pages.join(bodies.select("host"), "host", "left_semi")
+    trees = some.groupBy("host", "tree_id").agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
+    trees = stored(trees, "trees")
     reference = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree_id")).alias("reference"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             host, tree_id, slot, at = [], [], [], []
             for h, i, tree, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a, b in align(tree, ref).items():
@@ -323,18 +497,17 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
                     tree_id.append(i)
                     slot.append(a)
                     at.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(tree_id, pa.int64()), pa.array(slot, pa.string()), pa.array(at, pa.string())], ["host", "tree_id", "slot", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(tree_id, pa.int64()), pa.array(slot, pa.int64()), pa.array(at, pa.int64())], ["host", "tree_id", "slot", "common"])
 
-    alignment = trees.join(reference, "host").select("host", "tree_id", "tree", "reference").mapInArrow(aligned, "host string, tree_id long, slot string, common string")
-    slim = seen.select("host", "tree_id", "slot", "text", "body").join(alignment, ["host", "tree_id", "slot"])
-    bodies = seen.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("bodies"))
+    alignment = trees.join(reference, "host").select("host", "tree_id", "tree", "reference").mapInArrow(aligned, "host string, tree_id long, slot long, common long")
+    alignment = stored(alignment, "alignment")
+    seen = some.select("host", "tree_id", "body", F.explode("blocks").alias("x")).select("host", "tree_id", "body", "x.slot", F.col("x.hash").alias("text"))
+    slim = seen.join(alignment, ["host", "tree_id", "slot"])
     beside = slim.groupBy("host", "common", "text", "body").agg(F.lit(1).alias("one")).groupBy("host", "common", "text").agg(F.count("*").alias("beside")).where(F.col("beside") >= TEMPLATE_PAGES)
     constant = beside.join(bodies, "host").where(F.col("beside") >= F.lit(TEMPLATE_SHARE) * F.col("bodies")).select("host", "common", "text")
-    # at most 1 / TEMPLATE_SHARE texts a slot are constant, so a host's list is as short as its wrapper
     places = stored(alignment.join(constant, ["host", "common"]).select("host", "tree_id", "slot", "text", F.xxhash64("common", "text").alias("block")).distinct(), "constant")
-    listed = places.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("tree_id", "slot", "text", "block"))).alias("drop"))
-    template = places.join(_different(pages, listed), ["host", "block"])
-    return template.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("tree_id", "slot", "text"))).alias("drop"))
+    template = places.join(_different(some, places), ["host", "block"])
+    return template.groupBy("host", "tree_id").agg(F.collect_set(F.struct("slot", "text")).alias("drop"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -342,24 +515,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is empty; pages without a host share a wrapper; repeated rows give repeated results; further columns are
     ignored; an empty table gives an empty one. Broken markup is read as far as it goes: an element without an end
-    lasts to the end of its parent.
+    lasts to the end of its parent; a tag that no bracket ends is text; where a quote in a tag has no end, tags end at the next bracket.
+    Elements may be nested to any depth.
     """
-    python_workers(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
-    wrappers = stored(induce_wrappers(slim), "wrappers")  # its size decides how it is joined
-    joined = _with_wrappers(slim, wrappers, "left").select("page_id", "url", "html", "drop")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for source, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                page = Page(source)
-                blocks = page.candidates()
-                if drop:
-                    tree = _hash(page.tree())
-                    template = {(x["slot"], x["text"]) for x in drop if x["tree_id"] == tree}
-                    blocks = [(s, t) for s, t in blocks if (s, _hash(t)) not in template]
-                texts.append("\n".join(t for _, t in blocks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    read = stored(parsed(slim), "pages")
+    wrappers = stored(induce_wrappers(read), "wrappers")  # its size decides how it is joined
+    joined = read.select("page_id", "url", "host", "tree_id", "blocks").join(wrappers, ["host", "tree_id"], "left")
+    kept = F.filter("blocks", lambda b: ~F.array_contains("drop", F.struct(b["slot"].alias("slot"), b["hash"].alias("text"))))
+    text = F.array_join(F.transform(F.when(F.col("drop").isNull(), F.col("blocks")).otherwise(kept), lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

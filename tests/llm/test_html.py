@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html import unescape
 
 from millrace.llm import html_extract as h
@@ -96,5 +97,76 @@ def test_template_slot_by_slot(spark):
 def test_alignment():
     a = h.Page("<body><div class=x><p>1</p></div><section><h1>a</h1><p>b</p></section></body>").tree()
     b = h.Page("<body><section><h1>a</h1><div>z</div><p>b</p></section></body>").tree()
+
+    def slot(path):
+        found = 0
+        for label in path.split("/")[1:]:
+            found = h._slot(found, label)
+        return found
+
     found = h.align(a, b)
-    assert found["/body/section/p"] == "/body/section/p" and found["/body/div.x"].endswith("!")
+    own = slot("/body/div.x")
+    assert found[slot("/body/section/p")] == slot("/body/section/p") and found[own] == h._slot(own, "own") and len(found) == 6
+
+
+def matched(a, b):
+    """Simple tree matching by its definition, of trees as (label, children)."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_alignment_is_the_largest():
+    rng = random.Random(3)
+
+    def grow(depth):
+        out = []
+        for _ in range(rng.randrange(5) if depth else 0):
+            label = rng.choice("abc")
+            if not out or out[-1][0] != label:
+                out.append((label, grow(depth - 1)))
+        return out
+
+    def lines(nodes, depth=0):
+        return [x for label, inner in nodes for x in (f"{depth} {label}", *lines(inner, depth + 1))]
+
+    for _ in range(400):
+        a, b = grow(3), grow(3)
+        found = h.align("\n".join(lines(a)), "\n".join(lines(b)))
+        slots = set(h.Tree("\n".join(lines(b))).slot)
+        common = [x for x in found.values() if x in slots]
+        assert len(set(common)) == len(common) == matched(("", a), ("", b)) - 1
+
+
+def test_names_are_hints():
+    assert text("<article><math><mi>x</mi></math><label>kept</label><h2 class='share'>Market share</h2><div class='related'>Prose of a story.</div><p class='header-note'>A note.</p></article>") == "x\nkept\nMarket share\nProse of a story.\nA note."
+    assert text("<article><p>a</p><div class='related'><a href=1>One</a> <a href=2>Two</a></div></article>") == "a"
+    assert text("<form id=f><input><article><p>in a form</p><form><p>Mail</p></form></article></form>") == "in a form"
+    assert text("<form action=/x><h1>Head</h1><p>text</p></form>") == "Head\ntext" and text("<p>a</p><form><p>Mail</p></form>") == "a"
+    assert text("<div class='page-with-sidebar'><p>text</p><div class='sidebar'>s</div></div>") == "text"
+    assert text(f"<article><p>Teaser.</p></article><div class='content'><p>{'The story goes on. ' * 20}</p></div>") == ("The story goes on. " * 20).strip()
+    assert text("<article><pre><span class='hljs-comment'># code</span></pre><p>b</p></article>") == "# code\nb"
+
+
+def test_large_and_broken():
+    deep = 20_000
+    page = h.Page("<div>" * deep + "<p>x</p>" + "</div>" * deep)
+    assert [t for _, t in page.candidates()] == ["x"]
+    tree = page.tree()
+    found = h.align(tree, "\n".join(["0 section", *tree.split("\n")[: deep // 2]]))
+    assert len(found) == deep + 1
+    began = time.perf_counter()
+    for odd in ("<a " * 350_000, "<a b='" * 160_000, "<a b=\"" * 160_000 + ">", "<!-" * 300_000, "</x>" * 250_000, "<div>" * 100_000 + "</p>" * 100_000, "<" * 1_000_000, "<li>" * 200_000, "&" * 1_000_000):
+        h.Page(odd).candidates()
+    assert time.perf_counter() - began < 60
+
+
+def test_much_boilerplate(spark):
+    same = "".join(f"<div><p>House rule number {k} of this site.</p></div>" for k in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<body>{same}<section><p>Story {i} tells of {i * 31} ships and {i * 17} harbours.</p><p>It ends with {i * 13} sails and number {i}.</p></section></body>") for i in range(60)]
+    by = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Story {i} tells of {i * 31} ships and {i * 17} harbours.\nIt ends with {i * 13} sails and number {i}." for i in range(60))
