@@ -7,31 +7,38 @@ words of equal neighbours, and so knows exactly which window started earlier.
 
 An anchor that very many super-k-mers would share (the edge of a passage that a third of the documents quote) would make one bucket
 grow with the corpus. A first pass counts anchors over all documents; the common ones, a list of bounded length, come last in
-the order, so a window that has any other anchor goes by that.
+the order, so a window that has any other anchor goes by that. Windows that have none go to one of several buckets of their
+minimiser, by mapper; what is first there goes on to the minimiser's own bucket in a second, small round.
 
 Mappers work on blocks of some megabytes. A window that already started earlier in its block is settled there and does
-not travel, so a group of copies sends a bucket one window a block at most, however many copies a block holds.
+not travel, so a group of copies sends a bucket one window a block at most, however many copies a block holds. What a block
+sends to a partition is packed and compressed together, whatever its buckets; a partition's buckets are then sorted and taken one by one.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import input_bytes, python_workers, stored, text_of
 
 WINDOW, ANCHOR = 20, 4
-#: Bytes of text of a mapper's block, and bytes of the (compressed) input that make one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
+#: Bytes of text of a mapper's block; bytes of the (compressed) input that make one bucket, and one partition of buckets.
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 8 << 20, 1 << 20, 32 << 20
+#: Bucket of spans that are settled.
+SETTLED = -1
 
 #: An anchor is counted in a block that has it FEW times, and common if all have it COMMON times, or, if that is more, a MOST-th of all is it.
 FEW, COMMON, MOST = 8, 4096, 1_000_000
@@ -184,18 +191,51 @@ def count_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     return anchors[starts[n >= FEW]], n[n >= FEW], len(anchors)
 
 
-def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: int, common: np.ndarray = np.empty(0, np.uint64)) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed super-k-mers) of a block of documents, and (-1, packed spans) that are settled within it.
+class Kmers(NamedTuple):
+    """Super-k-mers, or settled spans (bucket SETTLED): by entry its bucket, key and tie of its document, the word at which it
+    starts, its number of windows, and where its words begin and end in a text."""
 
-    A super-k-mer has key and tie of its document, the word at which it starts, and its number of windows.
-    """
+    bucket: np.ndarray
+    key: np.ndarray
+    tie: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def at(self, order: np.ndarray) -> Kmers:
+        return Kmers(*[x[order] for x in self])
+
+
+class Buckets(NamedTuple):
+    """How minimisers are dealt: ``count`` buckets, and for common minimisers ``salts`` further ones each, in ``parts`` partitions."""
+
+    count: int
+    parts: int
+    salts: int = 1
+
+    def of(self, minimiser: np.ndarray, salt: int) -> np.ndarray:
+        own = (minimiser % np.uint64(self.count)).astype(np.int64)
+        return np.where(minimiser >> np.uint64(63) > 0, self.count + own * self.salts + salt % self.salts, own)
+
+    def home(self, bucket: int) -> int | None:
+        """The bucket to which what is first in ``bucket`` goes on, None if there is no further round."""
+        return (bucket - self.count) // self.salts if bucket >= self.count else None
+
+    def part(self, bucket: np.ndarray) -> np.ndarray:
+        return bucket % self.parts
+
+
+def super_kmers(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: Buckets, salt: int = 0, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[Kmers, bytes]:
+    """What a block of documents sends, and the text of its words, each with a space behind it."""
     order = np.lexsort((ties, keys))
     joined: list[bytes] = []
     codes, names, lengths, used = _coded([texts[i] for i in order.tolist()], joined)
+    none = np.empty(0, np.int64)
     if not len(lengths):
-        return
+        return Kmers(*[none] * 7), b""
     word_hashes = _word_hashes(codes, names)
-    text = b" ".join(joined)
+    text = b" ".join([*joined, b""])
     word_at = np.cumsum(np.append(0, np.array([len(w) + 1 for w in names], np.int64)[codes]))
     d = order[used]
     first = np.cumsum(lengths) - lengths
@@ -213,34 +253,72 @@ def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: i
     owner = owner[: len(hashes)]
     change = np.ones(len(hashes), bool)
     change[1:] = owner[1:] != owner[:-1]
-    starts, sizes = _runs(known, change)
-    if len(starts):
-        o = owner[starts]
-        yield -1, _pack([keys[d[o]].tobytes(), ties[d[o]].tobytes(), (starts - first[o]).astype(np.int64).tobytes(), sizes.astype(np.int64).tobytes()])
+    settled, settled_sizes = _runs(known, change)
     change[1:] |= minimiser[1:] != minimiser[:-1]
-    starts, sizes = _runs(valid & ~known, change)
-    bucket = (minimiser[starts] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    starts, sizes, bucket = starts[order], sizes[order], bucket[order]
-    bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        s, n = starts[lo:hi], sizes[lo:hi]
-        words = b" ".join([text[i:j] for i, j in zip(word_at[s].tolist(), (word_at[s + n + WINDOW - 1] - 1).tolist(), strict=True)])
-        o = owner[s]
-        yield int(bucket[lo]), _pack([_planes(keys[d[o]]), _planes(ties[d[o]].astype(np.int32)), _planes((s - first[o]).astype(np.int64)), _planes(n.astype(np.int64)), words])
-
-
-def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (key, tie, first word, windows) of the windows of a bucket that started earlier elsewhere."""
+    sent, sent_sizes = _runs(valid & ~known, change)
+    starts, sizes = np.concatenate([settled, sent]), np.concatenate([settled_sizes, sent_sizes])
+    o = owner[starts]
+    nothing = np.zeros(len(settled), np.int64)
+    begin, end = np.concatenate([nothing, word_at[sent]]), np.concatenate([nothing, word_at[sent + sent_sizes + WINDOW - 1]])
+    bucket = np.concatenate([nothing + SETTLED, buckets.of(minimiser[sent], salt)])
+    return Kmers(bucket, keys[d[o]], ties[d[o]], starts - first[o], sizes, begin, end), text
+
+
+def _groups(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(sorted_):
+        return []
+    bounds = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_)).tolist()
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def map_block(keys: np.ndarray, ties: np.ndarray, texts: list[bytes], buckets: Buckets, salt: int = 0, common: np.ndarray = np.empty(0, np.uint64)) -> Iterator[tuple[int, bytes]]:
+    """(partition, packed super-k-mers and settled spans, sorted by bucket) of a block of documents."""
+    found, text = super_kmers(keys, ties, texts, buckets, salt, common)
+    part = buckets.part(np.where(found.bucket == SETTLED, salt, found.bucket))
+    order = np.lexsort((found.bucket, part))
+    found, part = found.at(order), part[order]
+    for lo, hi in _groups(part):
+        one = found.at(slice(lo, hi))
+        groups = np.array([(one.bucket[a], b - a, (one.end[a:b] - one.begin[a:b]).sum()) for a, b in _groups(one.bucket)], np.int64)
+        words = b"".join([text[i:j] for i, j in zip(one.begin.tolist(), one.end.tolist(), strict=True)])
+        yield int(part[lo]), _pack([groups.tobytes(), *[_planes(x.astype(np.int64)) for x in (one.key, one.tie, one.start, one.size)], words])
+
+
+def unpack_block(blob: bytes) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its entries) of what ``map_block`` packed: their number, keys, ties, starts and sizes, and the words."""
+    groups, *columns, words = _unpack(blob)
+    columns = [_from_planes(x, np.int64) for x in columns]
+    at = byte = 0
+    for bucket, n, size in np.frombuffer(groups, np.int64).reshape(-1, 3).tolist():
+        yield bucket, _raw([x[at : at + n] for x in columns], words[byte : byte + size])
+        at, byte = at + n, byte + size
+
+
+def _raw(columns: list[np.ndarray], words: bytes) -> bytes:
+    # sorted by Spark next: compressed again, if lightly, a partition takes less than half the memory
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(columns[0])).tobytes(), *[x.astype(np.int64).tobytes() for x in columns], words]))
+
+
+def _from_raw(raw: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :]
+
+
+def reduce_bucket(raws: list[bytes], go_on: bool = False) -> tuple[np.ndarray, bytes | None]:
+    """Spans (key, tie, first word, windows: a row each) of the windows of a bucket that started earlier elsewhere; with
+    ``go_on`` also the others, as an entry of another bucket."""
     numbers = count()
     vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
-    parts: list[list[np.ndarray]] = []
-    for blob in blobs:
-        keys, ties, starts, sizes, words = _unpack(blob)
-        codes = np.fromiter(map(vocabulary.__getitem__, words.split(b" ")), np.int32)
-        parts.append([_from_planes(keys, np.int64), _from_planes(ties, np.int32).astype(np.int64), _from_planes(starts, np.int64), _from_planes(sizes, np.int64), codes])
-    keys, ties, starts, sizes, codes = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    del parts
+    columns, coded = [], []
+    for raw in raws:
+        entries, words = _from_raw(raw)
+        columns.append(entries)
+        coded.append(np.fromiter(map(vocabulary.__getitem__, words.split()), np.int32))
+    keys, ties, starts, sizes = np.concatenate(columns, axis=1)
+    codes = np.concatenate(coded)
+    del columns, coded
     spans = sizes + WINDOW - 1
     place = np.cumsum(spans) - spans
     order = np.lexsort((starts, ties, keys))
@@ -249,13 +327,28 @@ def reduce_bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     seeds = _mix(np.arange(1, len(vocabulary) + 1, dtype=np.uint64) * _BASE)
     hashes = _window_hashes(seeds[codes], WINDOW)
     new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(ties[order]) != 0))
-    document = np.repeat(np.cumsum(new), sizes[order])
-    known = later(codes, at, hashes[at], (document << 40) + starts[owner] + at - place[owner])
+    word = starts[owner] + at - place[owner]
+    # a number for each (document, word) in order: the documents before have as many words as their last window's place says
+    document = np.cumsum(new) - 1
+    lengths = np.zeros(document[-1] + 1, np.int64)
+    np.maximum.at(lengths, document, starts[order] + sizes[order])
+    before = np.cumsum(lengths) - lengths
+    known = later(codes, at, hashes[at], before[np.repeat(document, sizes[order])] + word)
     change = np.ones(len(at), bool)
     change[1:] = owner[1:] != owner[:-1]
-    begin, n = _runs(known, change)
-    o = owner[begin]
-    return keys[o], ties[o], starts[o] + at[begin] - place[o], n
+
+    def entries(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, n = _runs(flags, change)
+        o = owner[begin]
+        return np.array([keys[o], ties[o], word[begin], n]), at[begin]
+
+    out, _ = entries(known)
+    if not go_on:
+        return out, None
+    rest, places = entries(~known)
+    names = list(vocabulary)
+    words = [b" ".join([names[c] for c in codes[i : i + n + WINDOW - 1].tolist()]) + b" " for i, n in zip(places.tolist(), rest[3].tolist(), strict=True)]
+    return out, _raw(list(rest), b"".join(words))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -288,48 +381,94 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in found], np.int64).astype(np.uint64))
 
 
+def _reduced(rows: DataFrame, buckets: Buckets) -> DataFrame:
+    """(key, tie, start, n) of spans, or (home, raw) of what goes on, from ``rows`` (bucket, raw) sorted by bucket within partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "tie", "start", "n", "home", "raw"], [pa.int64()] * 5 + [pa.binary()]
+        bucket, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            home, rest = buckets.home(bucket), None
+            if bucket == SETTLED:
+                columns = np.concatenate([_from_raw(x)[0] for x in held], axis=1)
+            else:
+                columns, rest = reduce_bucket(held, home is not None)
+            key, tie, start, n = columns
+            if len(key):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, tie, start, n + WINDOW - 1)), *[pa.nulls(len(key), x) for x in kinds[4:]]], names)
+            if rest is not None:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, x) for x in kinds[:4]], pa.array([home], pa.int64()), pa.array([rest], pa.binary())], names)
+
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket:
+                    if held:
+                        yield from out()
+                    bucket, held = b, []
+                held.append(raw.as_py())
+                if b == SETTLED and len(held) >= 1000:  # nothing to compare
+                    yield from out()
+                    held = []
+        if held:
+            yield from out()
+
+    return rows.mapInArrow(run, "key long, tie long, start long, n long, home long, raw binary")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, tie, spans): for documents with windows that started earlier, their spans of (first word, words).
 
-    ``docs`` has ``key`` (long), ``tie`` (long, in 32 bits) and ``text``; earlier means smaller in (key, tie, first word).
+    ``docs`` has ``key`` (long), ``tie`` (long) and ``text``; earlier means smaller in (key, tie, first word).
     """
     python_workers(docs.sparkSession)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // BUCKET_BYTES))
+    size = input_bytes(docs)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-size // PART_BYTES))
+    # of as many blocks as the input has, a common minimiser's bucket gets the square root at most, and so its own bucket
+    buckets = Buckets(max(least, -(-size // BUCKET_BYTES)), parts, max(1, math.isqrt(size // BLOCK_BYTES)))
     common = common_anchors(docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches):
+        task = TaskContext.get().partitionId()
+        for i, rows in enumerate(_blocks(batches)):
             keys, ties, texts = zip(*rows, strict=True)
-            for bucket, blob in map_block(np.array(keys, np.int64), np.array(ties, np.int64), list(texts), buckets, common):
-                if bucket < 0:  # nothing left to compare: any bucket passes it on
-                    bucket = -1 - xxhash.xxh3_64_intdigest(blob) % buckets
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        if table.column("bucket")[0].as_py() < 0:
-            parts = [[np.frombuffer(x, np.int64) for x in _unpack(b)] for b in blobs]
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        else:
-            columns = reduce_bucket(blobs)
-        key, tie, start, n = columns
-        return pa.table({"key": key, "tie": tie, "start": start, "n": n + WINDOW - 1})
-
-    blobs = docs.select("key", "tie", "text").mapInArrow(split, "bucket long, blob binary")
-    spans = blobs.groupBy("bucket").applyInArrow(compare, "key long, tie long, start long, n long")
+            for part, blob in map_block(np.array(keys, np.int64), np.array(ties, np.int64), list(texts), buckets, task + i * 7919, common):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(1):
+                found, raws = zip(*unpack_block(blob.as_py()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(raws, pa.binary())], ["bucket", "raw"])
+
+    blobs = docs.select("key", "tie", "text").mapInArrow(split, "part int, blob binary").repartitionById(parts, "part")
+    spans = _reduced(blobs.mapInArrow(unpack, "bucket long, raw binary").sortWithinPartitions("bucket"), buckets)
+    if len(common):
+        spans = stored(spans, "spans")
+        rest = spans.where("home is not null").select(F.col("home").alias("bucket"), "raw").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        spans = spans.where("home is null").union(_reduced(rest, buckets))
     return spans.groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
+def _with_ties(slim: DataFrame) -> DataFrame:
+    """``slim`` with ``tie``, a hash of the text where rows share a key, so that texts of one key are told apart."""
+    repeated = stored(slim.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key", F.lit(True).alias("__repeated")), "repeated-keys")
+    if repeated.isEmpty():
+        return slim.withColumn("tie", F.lit(0).cast("long"))
+    return slim.join(repeated, "key", "left").withColumn("tie", F.when(F.col("__repeated"), F.xxhash64("text")).otherwise(0)).drop("__repeated")
+
+
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256``; ``kept`` (the words left) with ``with_text``.
 
     A word goes if a window that covers it has the word sequence of a window that starts earlier: in a smaller doc_id, or
     earlier in the same document. Windows are judged on the input. Null texts have no words. A null doc_id counts as the
-    largest; rows of one doc_id but different texts are ordered by a hash of the text, rows of one doc_id and text are one
+    largest; rows of one doc_id but different texts are ordered by a hash of the text (64 bits), rows of one doc_id and text are one
     document and get the same result. Further columns are ignored; an empty table gives an empty one.
     """
     largest = (1 << 63) - 1
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(largest)).alias("key"), F.shiftright(F.xxhash64(text_of()), 32).alias("tie"), text_of().alias("text"))
+    slim = _with_ties(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(largest)).alias("key"), text_of().alias("text")))
     joined = slim.join(repeated_spans(slim), ["key", "tie"], "left").select("doc_id", "text", "spans")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
