@@ -6,7 +6,7 @@ partition. Filters on topic, block and offset skip files, and within a file the
 the byte to begin at. ``format("segment_index")`` reads the index files, and ``df.write.format("segments")`` writes files.
 
 Options: ``verify`` (check the checksums), ``tolerate_torn_tail`` (end a file at an incomplete frame, else it is an error),
-``check_gaps`` (false to allow offsets that don't follow each other). Paths are those of a file system that all executors
+``check_gaps`` (false to allow offsets that don't follow each other, within a segment or from one to the next). Paths are those of a file system that all executors
 mount; in other stores keep logs in the Parquet store.
 """
 
@@ -20,7 +20,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -41,6 +43,11 @@ LOG_SCHEMA = "topic string, block long, offset long, content binary, byte_size l
 INDEX_SCHEMA = "topic string, block long, offset long, byte_offset long"
 
 
+LOG_NAMES = [x.split()[0] for x in LOG_SCHEMA.split(", ")]
+#: Bytes of contents, and rows, of a batch that the reader hands to Spark.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 8192
+
+
 class FrameError(ValueError):
     """A segment file that can't be read on."""
 
@@ -220,16 +227,36 @@ class SegmentReader(DataSourceReader):
             index = read_index(partition.path.removesuffix(".log") + ".idx")
             if at := bisect_right(index, (low, 1 << 64)):
                 expected, start = index[at - 1]
-        for at, offset, crc, content in frames(partition.path, start, expected if self.gaps else None, self.torn):
-            if high is not None and offset > high:
+        rows: list[tuple] = []
+        held = 0
+        last = None
+        for frame in frames(partition.path, start, expected if self.gaps else None, self.torn):
+            at, last, crc, content = frame
+            if high is not None and last > high:
                 break
-            if offset < low:
+            if last < low:
                 continue
-            if self.verify:
-                body = struct.pack("<Q", len(content)) + content + struct.pack("<Q", offset)
-                if int(crc32c_many([body])[0]) != crc:
-                    raise FrameError(f"{partition.path}: checksum of offset {offset}")
-            yield partition.topic, partition.block, offset, content, len(content), crc, at
+            rows.append(frame)
+            held += len(content)
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield self._batch(partition, rows)
+                rows, held = [], 0
+        else:
+            following = expected if last is None else last + 1
+            if self.gaps and partition.upto is not None and following != partition.upto:
+                raise FrameError(f"{partition.path}: ends before offset {following}, and the next segment begins at {partition.upto}")
+        if rows:
+            yield self._batch(partition, rows)
+
+    def _batch(self, segment: Segment, rows: list[tuple]) -> pa.RecordBatch:
+        places, offsets, sums, contents = zip(*rows, strict=True)
+        if self.verify:
+            found = crc32c_many([struct.pack("<Q", len(c)) + c + struct.pack("<Q", o) for c, o in zip(contents, offsets, strict=True)])
+            if len(wrong := np.flatnonzero(found != np.array(sums, np.uint32))):
+                raise FrameError(f"{segment.path}: checksum of offset {offsets[wrong[0]]}")
+        n = len(rows)
+        long = lambda x: pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([segment.topic] * n), long([segment.block] * n), long(offsets), pa.array(contents, pa.binary()), long(list(map(len, contents))), long(sums), long(places)], LOG_NAMES)
 
 
 class IndexReader(DataSourceReader):
@@ -316,6 +343,44 @@ class SegmentWriter(DataSourceWriter):
                         os.remove(x)
 
 
+def segment_tails(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, block, last_offset, n_bytes) of the segment files below ``path``, each from its last bytes; an empty one has no last offset."""
+    python_workers(spark)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, size = zip(*[tail(p) for p in batch.column(2).to_pylist()], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(last, pa.int64()), pa.array(size, pa.int64())], ["topic", "block", "last_offset", "n_bytes"])
+
+    return _files(spark, path).mapInArrow(look, "topic string, block long, last_offset long, n_bytes long")
+
+
+def find_positions(spark: SparkSession, path: str, every: int) -> DataFrame:
+    """(topic, block, offset, byte_offset, passed): for the offsets divisible by ``every`` of the segment files below ``path``, the byte
+    at which their frame begins, looked for from the nearest index entry before, and the frames passed over from there."""
+    python_workers(spark)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for topic, block, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index, (last, _) = read_index(file.removesuffix(".log") + ".idx"), tail(file)
+                wanted = range(-(-block // every) * every, (block if last is None else last + 1), every)
+                found = []
+                for offset in wanted:
+                    i = bisect_right(index, (offset, 1 << 64))
+                    found.append((offset, *position_of(file, offset, index[i - 1][1] if i else 0)) if offset != block else (offset, 0, 0))
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([topic] * len(found), pa.string()), *[pa.array(x, pa.int64()) for x in ([block] * len(found), *columns)]], ["topic", "block", "offset", "byte_offset", "passed"])
+
+    return _files(spark, path).mapInArrow(look, "topic string, block long, offset long, byte_offset long, passed long")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, block, path) of segment files, a few a task."""
+    found = [(s.topic, s.block, s.path) for s in list_segments(path, "log")]
+    return spark.createDataFrame(found, "topic string, block long, path string").repartition(max(1, min(len(found), 1024)))
+
+
 class Segments(DataSource):
     @classmethod
     def name(cls):

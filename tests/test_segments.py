@@ -85,3 +85,33 @@ def test_gap(spark, tmp_path):
     with pytest.raises(Exception, match="offset 9 where 8 follows"):
         spark.read.format("segments").load(str(path)).collect()
     assert spark.read.format("segments").option("check_gaps", "false").load(str(path)).count() == 2
+
+
+def test_missing_segment(spark, tmp_path):
+    """A gap between files is an error, unless gaps are allowed; not where the reader stops before it."""
+    segments.register(spark)
+    (tmp_path / "0.log").write_bytes(segments.encode([b"a", b"b", b"c"], 0))
+    (tmp_path / "5.log").write_bytes(segments.encode([b"f", b"g"], 5))
+    df = spark.read.format("segments").load(str(tmp_path))
+    with pytest.raises(Exception, match="ends before offset 3, and the next segment begins at 5"):
+        df.collect()
+    assert sorted(r.offset for r in spark.read.format("segments").option("check_gaps", "false").load(str(tmp_path)).collect()) == [0, 1, 2, 5, 6]
+    assert sorted(r.offset for r in df.where("offset < 2").collect()) == [0, 1] and df.where("offset >= 5").count() == 2
+    (tmp_path / "3.log").write_bytes(segments.encode([b"d", b"e"], 3))
+    assert spark.read.format("segments").load(str(tmp_path)).count() == 7
+
+
+def test_batches(spark, tmp_path, monkeypatch):
+    segments.register(spark)
+    (tmp_path / "0.log").write_bytes(segments.encode([bytes([i % 251]) * (i % 50) for i in range(20_000)], 0))
+    rows = spark.read.format("segments").option("verify", "true").load(str(tmp_path)).collect()
+    assert [(r.offset, bytes(r.content)) for r in rows] == [(i, bytes([i % 251]) * (i % 50)) for i in range(20_000)]
+
+
+def test_tails_and_positions_by_spark(spark, logs):
+    root, rows = logs
+    tails = {(r.topic, r.block): (r.last_offset, r.n_bytes) for r in segments.segment_tails(spark, root).collect()}
+    assert tails == {(t, b): (max(o for x, y, o, _ in rows if (x, y) == (t, b)), sum(20 + len(c) for x, y, _, c in rows if (x, y) == (t, b))) for t in "ab" for b in (0, 40, 80)}
+    at = {(r.topic, r.offset): r.byte_offset for r in spark.read.format("segments").load(root).collect()}
+    found = segments.find_positions(spark, root, 7).collect()
+    assert {(r.topic, r.offset): r.byte_offset for r in found} == {k: v for k, v in at.items() if k[1] % 7 == 0} and all(r.passed <= 10 for r in found)
