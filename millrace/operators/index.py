@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.log import byte_offsets
+from millrace.tables import stored
 
 #: Offsets for each index entry.
 EVERY = 10
@@ -27,13 +28,21 @@ def find_blocks(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     """``targets`` (topic, target) with the ``block`` that holds the offset; null beyond the end.
 
     An as-of join: targets and segment starts are sorted together and each target takes the last start before it, so no
-    pairs arise, however many segments there are.
+    pairs arise, however many segments there are. No topic goes through one task: the rows are range-partitioned and stored with
+    their partition, and where a topic's rows in a partition begin with targets, these take the topic's last start in the partitions
+    before, of which there is a row for each topic and partition.
     """
     bounds = block_bounds(blocks)
     starts = bounds.select("topic", F.col("block").alias("at"), F.lit(0).alias("kind"), F.struct("block", "upto").alias("found"))
     asked = targets.select("topic", F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<block:bigint,upto:bigint>").alias("found"))
-    last = F.last("found", ignorenulls=True).over(Window.partitionBy("topic").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return starts.unionByName(asked).withColumn("f", last).where("kind = 1").select("topic", F.col("at").alias("target"), F.when(F.col("at") < F.col("f.upto"), F.col("f.block")).alias("block"))
+    ranged = starts.unionByName(asked).repartitionByRange("topic", "at", "kind").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "as-of")
+    ends = ranged.groupBy("topic", "part").agg(F.max("found").alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("topic").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("topic", "part", before.alias("carried"))
+    last = F.last("found", ignorenulls=True).over(Window.partitionBy("topic", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("own", last).where("kind = 1").join(carried, ["topic", "part"]).withColumn("f", F.coalesce("own", "carried"))
+    return found.select("topic", F.col("at").alias("target"), F.when(F.col("at") < F.col("f.upto"), F.col("f.block")).alias("block"))
 
 
 def nearest_entry(targets: DataFrame, index: DataFrame) -> DataFrame:

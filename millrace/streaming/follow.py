@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +44,29 @@ def commits(store: LogStore, per_trigger: int = 16) -> DataFrame:
     return found.select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long").alias("commit"))
 
 
+def _each(store: LogStore, checkpoint: str, handle: Callable[[list[int], int], None], every: str | None, per_trigger: int) -> StreamingQuery:
+    """Call ``handle`` with the numbers of the commits of each micro-batch, at most ``per_trigger``, ascending."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        if found := sorted(r.commit for r in batch.collect()):
+            handle(found, number)
+
+    return _trigger(commits(store, per_trigger).writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint), every).start()
+
+
 def tail(store: LogStore, checkpoint: str, handle: Callable[[DataFrame, int], None], topic: str | None = None, offset: int = 0, every: str | None = None, per_trigger: int = 16) -> StreamingQuery:
     """Call ``handle`` with LOG rows from ``offset`` on, of one topic or all, as commits appear.
 
-    Each commit is handed over once for the checkpoint; a call that failed is repeated.
+    Each commit is handed over once for the checkpoint, and no other with it; a call that failed is repeated.
     """
 
-    def deliver(batch: DataFrame, number: int) -> None:
-        row = batch.agg(F.min("commit"), F.max("commit")).first()
-        if row[0] is None:
-            return
-        rows = store.log(since=row[0] - 1, until=row[1])
+    def deliver(found: list[int], number: int) -> None:
+        rows = store.log(found)
         if topic is not None:
             rows = rows.where(F.col("topic") == topic)
         handle(rows.where(F.col("offset") >= offset), number)
 
-    return _trigger(commits(store, per_trigger).writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint), every).start()
+    return _each(store, checkpoint, deliver, every, per_trigger)
 
 
 def follow(store: LogStore, topic: str, offset: int = 0, size: int = 1000, poll: float = 2.0, ttl: float = 30.0, stop_on_completion: bool = False) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
@@ -92,21 +100,19 @@ def follow(store: LogStore, topic: str, offset: int = 0, size: int = 1000, poll:
         time.sleep(poll)
 
 
-def refresh_index(store: LogStore, path: str, checkpoint: str, step: int = idx.EVERY, every: str | None = None) -> StreamingQuery:
+def refresh_index(store: LogStore, path: str, checkpoint: str, step: int = idx.EVERY, every: str | None = None, per_trigger: int = 16) -> StreamingQuery:
     """Keep the sparse index of a store at ``path`` (Parquet) up to date: each commit adds the entries of its rows.
 
-    A frame's place in its segment needs the bytes before it: those of earlier commits, a sum by segment, are added to the
-    commit's own running sum.
+    A frame's place in its segment needs the bytes before it. Only the newest segment of a topic can have any from before a commit,
+    and the status of the commit before says how many: nothing but the commit's own rows is read.
     """
 
-    def extend(rows: DataFrame, number: int) -> None:
-        touched = rows.groupBy("topic", "block").agg(F.min("offset").alias("from"))
-        log = store.log().join(touched.select("topic", "block"), ["topic", "block"], "left_semi")
-        before = log.join(touched, ["topic", "block"]).where(F.col("offset") < F.col("from")).groupBy("topic", "block").agg(F.sum(F.col("byte_size") + ops.OVERHEAD).alias("skip"))
-        placed = ops.byte_offsets(rows).join(before, ["topic", "block"], "left").withColumn("byte_offset", F.col("byte_offset") + F.coalesce("skip", F.lit(0)))
-        new = placed.where((F.col("offset") % step == 0) & (F.col("offset") != F.col("block"))).select("topic", "block", "offset", "byte_offset")
-        new.write.mode("overwrite").parquet(f"{path}/part={number}")
-
-    return tail(store, checkpoint, extend, every=every)
-
+    def extend(found: list[int], number: int) -> None:
+        parts = []
+        for n in found:
+            heads = store.status(n - 1).select("topic", F.col("head_block").alias("block"), F.col("head_bytes").alias("skip"))
+            placed = ops.byte_offsets(store.log([n])).join(heads, ["topic", "block"], "left").withColumn("byte_offset", F.col("byte_offset") + F.coalesce("skip", F.lit(0)))
+            parts.append(placed.where((F.col("offset") % step == 0) & (F.col("offset") != F.col("block"))).select("topic", "block", "offset", "byte_offset"))
+        reduce(DataFrame.union, parts).write.mode("overwrite").parquet(f"{path}/part={number}")
 
+    return _each(store, checkpoint, extend, every, per_trigger)

@@ -1,13 +1,15 @@
 """The Parquet store: appends, reads, leases, streams."""
 
+import os
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import log as ops
-from millrace.sources.store import LeaseError, LogStore, ReadOnlyError
+from millrace.sources.store import Lease, LeaseError, LogStore, ReadOnlyError
 from millrace.sources.text import read_lines
 from millrace.streaming import follow
 
@@ -111,3 +113,67 @@ def test_text_lines(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes("one\r\n\ntwo\rstill two\nthree æ".encode())
     rows = [bytes(r.content).decode() for r in read_lines(spark, str(tmp_path / "x.txt")).orderBy("o0").collect()]
     assert rows == ["one", "two\rstill two", "three æ"]
+
+
+def test_lease_is_renewed_while_writing(spark, tmp_path):
+    lease = LogStore(spark, str(tmp_path / "s"), lease_seconds=0.9).lease
+    other = Lease(spark, lease.path, 0.9)
+    with lease.kept() as ours:
+        time.sleep(2.5)
+        assert ours() and not other.acquire()
+    time.sleep(1.5)
+    assert other.acquire() and not lease.renew()
+    with pytest.raises(LeaseError), lease.kept():
+        pass
+
+
+def test_writers_of_different_topics(spark, tmp_path):
+    """Both write at the same time; commits come one after the other and none is lost."""
+    root = str(tmp_path / "s")
+    stores = [LogStore(spark, root, lease_seconds=60, topics=[t]) for t in "ab"]
+    failed = []
+
+    def write(store, topic):
+        try:
+            for k in range(3):
+                store.write(entries(spark, [(topic, i, f"{k}-{i}".encode()) for i in range(5)]))
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=x) for x in zip(stores, "ab", strict=True)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and len(stores[0].commits()) == 6
+    for t in "ab":
+        assert [bytes(r.content).decode() for r in stores[0].read(t).orderBy("offset").collect()] == [f"{k}-{i}" for k in range(3) for i in range(5)]
+    assert {r.topic: r.next_offset for r in stores[0].status().collect()} == {"a": 15, "b": 15}
+    with pytest.raises(LeaseError):
+        stores[0].write(entries(spark, [("c", 0, b"x")]))
+
+
+def test_a_batch_hands_over_its_commits_only(spark, tmp_path):
+    """Commits come by time of their files: one that was published late is not handed over with its neighbours."""
+    root = str(tmp_path / "s")
+    with LogStore(spark, root) as store:
+        for i in range(3):
+            store.write(entries(spark, [("a", 0, str(i).encode())]))
+        now = time.time()
+        for i, back in enumerate((300, 100, 200)):
+            os.utime(f"{root}/commits/{i:020d}.json", (now - back, now - back))
+        got = []
+        follow.tail(store, f"{root}/tail", lambda df, n: got.append(sorted(r.offset for r in df.collect())), per_trigger=2).awaitTermination()
+        assert got == [[0, 2], [1]]
+
+
+def test_many_commits_are_read_by_one_job(spark, tmp_path):
+    root = str(tmp_path / "s")
+    with LogStore(spark, root, lease_seconds=None) as store:
+        store.write(entries(spark, [("a", 0, b"0")]), token="first")
+        manifest = store._manifests()[0]
+        for n in range(1, 20):  # empty commits
+            assert store._publish(n, {"id": manifest["id"], "wrote": 0, "token": str(n)})
+        assert not store._publish(7, manifest)
+        fresh = LogStore(spark, root, read_only=True)
+        assert len(fresh._manifests()) == 20 and fresh._manifests()[0] == manifest and fresh.log().count() == 1
