@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; one of our own where that is unset, in local
+    mode only, as executors elsewhere would not see it."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return found
     if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
         return held.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
