@@ -173,6 +173,36 @@ def as_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def as_edited_events(conversations: DataFrame) -> DataFrame:
+    """Conversations as the log of a chat in which answers stream and things are changed.
+
+    A user's message comes whole, and is edited at once where conv_id is divisible by 5. An assistant's begins as a draft of
+    one delta, is regenerated, and streams in two deltas. Where conv_id is divisible by 7, the first message is edited after all
+    others, which voids them.
+    """
+    c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    half = "cast(length(text) div 2 as int)"
+
+    def event(at: int, kind: str, text: str, when: str = "true") -> str:
+        return f"if({when}, struct(turn * 10 + {at} as seq, '{kind}' as kind, {text} as text), null)"
+
+    assistant = [event(0, "delta", "'A draft'"), event(1, "regenerate", "''"), event(2, "delta", f"left(text, {half})"), event(3, "delta", f"substring(text, {half} + 1)")]
+    other = [event(0, "message", "text"), event(1, "edit", "concat(text, ' (edited)')", "conv_id % 5 = 0")]
+    events = c.select("conv_id", "turn", "role", F.explode(F.expr(f"filter(if(role = 'assistant', array({', '.join(assistant)}), array({', '.join(other)})), e -> e is not null)")).alias("e"))
+    events = events.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+    ends = c.where("conv_id % 7 = 0").groupBy("conv_id").agg(F.min_by(F.struct("turn", "role", "text"), "turn").alias("f"), F.max("turn").alias("last"))
+    late = ends.select("conv_id", "f.turn", (F.col("last") * 10 + 9).alias("seq"), F.lit("edit").alias("kind"), "f.role", F.concat(F.lit("Again: "), "f.text").alias("text"))
+    return events.unionByName(late)
+
+
+def edited_sql() -> str:
+    """The digests of ``as_edited_events``, folded."""
+    final = """with d as (select conv_id, turn, role, coalesce(text, '') as text, min(turn) over (partition by conv_id) as first from conversations),
+e as (select conv_id, turn, coalesce(role, '') as role, case when conv_id % 7 = 0 then 'Again: ' || text when conv_id % 5 = 0 and role is distinct from 'assistant' then text || ' (edited)' else text end as text from d where conv_id % 7 <> 0 or turn = first)"""
+    plain = sql("")
+    return final + ", c as (select conv_id, turn, role, text from e)" + plain[plain.index("\nselect conv_id, count(*)"):]
+
+
 def sql(probe: str) -> str:
     """The digests of the query: all conversations and a further one, -1, of a user and an assistant who both say ``probe``."""
     escaped = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"

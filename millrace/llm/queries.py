@@ -52,6 +52,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(logged.unionByName(chat_format.as_events(probe))))
 
 
+def chat_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over a log with deltas, edits and regenerations."""
+    return chat_format.digests(chat_format.format_conversations(chat_format.as_edited_events(table(spark, sf_dir, "conversations"))))
+
+
 def op8_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -65,9 +70,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, op8_mixing_to_weights, op9_simhash_near_dedup, op10_token_counts]
+    found = [op1_substring_dedup, op2_line_dedup, op3_quality_rules, op4_document_fingerprints, op5_html_extraction, op6_bpe_encode_decode, op7_chat_formatting, chat_event_log, op8_mixing_to_weights, op9_simhash_near_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.SQL, "op7_chat_formatting": chat_format.sql(PROBE), "op2_line_dedup": line_dedup.SQL, "op3_quality_rules": quality_rules.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op7_chat_formatting": chat_format.sql(PROBE), "chat_event_log": chat_format.edited_sql(), "op2_line_dedup": line_dedup.SQL, "op3_quality_rules": quality_rules.SQL}
