@@ -1,12 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Documents are cut into blocks: a document's block is the hash of its content modulo the number of blocks of its source. A
-source's target gives whole epochs, which draw all its blocks, and a rest, which draws blocks in permuted order as long as they fit.
-The drawn blocks are exact quotas by source; a binary tree splits them among output shards by multivariate hypergeometric
-draws (source after source, each given what is left), so every shard gets a fixed number of blocks and the quotas of the
-leaves add up. Shards then take consecutive ranges of each source's permuted blocks, disjoint ones, and their documents are sorted by a hash.
+source's target gives its quota, an exact number of blocks: whole epochs, which draw all its blocks, and a rest, the first
+blocks of a permutation, as many as come nearest. A tree splits the quotas among output shards by multivariate
+hypergeometric draws: groups of sources get places in every shard, and hand them down to smaller groups and at last to
+sources. A shard then takes its quota, the next blocks of each source's permutation, disjoint ones, and sorts their documents by a hash.
+What a document gives to the mix is what the shards took of its block.
 
-Only per-source rows and at most BLOCKS blocks a source are ever brought together; documents are never grouped by source.
+No row or task has all sources, and a source has at most BLOCKS blocks; documents are never grouped by source.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, text_of, words_of
 
-#: Blocks of a source at most; times a document is taken at most; levels of the tree (2 ** LEVELS shards); seed.
+#: Blocks of a source at most; times a document is taken at most; levels of halving that make the shards (2 ** LEVELS); seed.
 BLOCKS, EPOCHS, LEVELS, SEED = 4096, 3, 4, 20240
-#: Exchanges that follow the first choice of blocks, and the blocks, picked and left, that one considers.
-ROUNDS, LAST, NEXT = 4, 32, 256
-#: Permutations of a source's blocks that are tried; the one whose choice comes nearest counts.
-STARTS = 8
+#: Groups of sources, or sources, into which a group is split.
+FAN = 64
+#: Permutations of a source's blocks that are tried, the nearest counts: so many, and more for few documents, up to the second number.
+STARTS, MOST_STARTS = 8, 256
 
 
 def sized(docs: DataFrame, *keep: str) -> DataFrame:
@@ -30,72 +31,106 @@ def sized(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("source").cast("string").alias("__source"), F.size(words_of(text)).cast("long").alias("__size"), F.xxhash64("doc_id", text, F.lit(SEED)).alias("__hash"))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` (a written table) with ``rank``, from 0 by code point, null last: sorted by ranges, each counted on from those before."""
+    ranged = sources.withColumn("__null", F.col("__source").isNull()).repartitionByRange("__null", "__source").withColumn("__part", F.spark_partition_id())
+    ranged = stored(ranged, "source-ranges")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # a row a range
+    before = counts.select(F.col("__part").alias("__p"), (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__null", "__source")) - 1
+    return ranged.withColumn("nth", nth).join(before, F.col("__part") == F.col("__p")).withColumn("rank", F.col("nth") + F.col("__before")).drop("__part", "__p", "__null", "__before", "nth")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """Per source: rank (code points, null last), weight, size, documents, target, whole epochs, quota of the rest, blocks.
+    """Per source: rank (code points, null last), size, target, whole epochs, quota of the rest in words, blocks, documents.
 
-    Weights are 1, 2, 3, repeating. Targets share the total size by weight, no source above EPOCHS times its size: sources
-    are filled in order of size over weight, and a source is capped if its share of what is left exceeds its cap. One row a
-    source goes through one task here.
+    Weights are 1, 2, 3, repeating. Targets share the total size by weight, no source above EPOCHS times its size: what is
+    above goes back and is shared again among the others, in rounds of one aggregate, until nothing is.
     """
-    sources = sizes.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("docs"))
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("__source").isNull(), "__source")) - 1)
-    ranked = ranked.withColumn("weight", (F.col("rank") % 3 + 1).cast("double")).withColumn("cap", F.lit(EPOCHS) * F.col("size").cast("double"))
-    every = Window.partitionBy(F.lit(0))
-    by_ratio = every.orderBy(F.col("cap") / F.col("weight"), "rank")
-    so_far = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("size").over(every) - F.coalesce(F.sum("cap").over(so_far), F.lit(0.0))
-    share = ranked.withColumn("share", left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(so_far), F.lit(0.0))))
-    share = share.withColumn("capped", F.col("share") * F.col("weight") > F.col("cap"))
-    final = F.first(F.when(~F.col("capped"), F.col("share")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", final * F.col("weight")))
-    out = share.withColumn("target", target).withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))
+    sources = stored(sizes.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("docs")), "sources")
+    ranked = _ranked(sources).withColumn("weight", (F.col("rank") % 3 + 1).cast("double")).withColumn("cap", F.lit(EPOCHS) * F.col("size").cast("double"))
+    ranked = stored(ranked, "ranked-sources")
+    share, known = 0.0, None
+    while True:
+        capped = F.col("weight") * F.lit(share) > F.col("cap")
+        row = ranked.agg(F.sum("size").alias("total"), F.sum(F.when(capped, F.col("cap"))).alias("full"), F.sum(F.when(~capped, F.col("weight"))).alias("weight"), F.count(F.when(capped, 1)).alias("n")).first()
+        if row["n"] == known or not row["weight"]:
+            break
+        known, share = row["n"], (row["total"] - (row["full"] or 0.0)) / row["weight"]
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(share))
+    out = ranked.withColumn("target", target).withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))
     quota = F.round(F.col("target") - F.col("epochs") * F.col("size")).cast("long")
-    return out.select("__source", "rank", "size", "target", "epochs", quota.alias("quota"), F.least(F.lit(BLOCKS), 8 * F.col("docs")).cast("int").alias("blocks"))
+    return out.select("__source", "rank", "size", "target", "epochs", quota.alias("quota"), F.least(F.lit(BLOCKS), 256 * F.col("docs")).cast("int").alias("blocks"), "docs")
+
+
+#: The blocks of ``all`` that have words, in the order of permutation ``start``.
+_PERMUTED = f"sort_array(transform(filter(all, x -> x.size > 0), x -> struct(xxhash64({SEED}, start, rank, x.block) as o, x.block as block, x.size as size)))"
+#: How many first ones of ``of`` come nearest to ``quota``, and how near.
+_NEAREST = """aggregate(of, struct(0L as taken, 0 as n, quota as gap, 0 as best), (a, x) -> transform(array(a.taken + x.size), t ->
+    struct(t as taken, a.n + 1 as n, least(a.gap, abs(quota - t)) as gap, case when abs(quota - t) < a.gap then a.n + 1 else a.best end as best))[0],
+    a -> struct(a.gap as gap, start as start, a.best as best))"""
 
 
-def _picked(blocks: str, quota: str) -> str:
-    """Of ``blocks`` (order, block, size), (taken, p: those chosen) that make up ``quota``: those that fit, one after the other, then the ROUNDS best exchanges.
+def hypergeometric(total: str, marked: str, drawn: str, uniform: str, name: str = "h") -> str:
+    """SQL of a hypergeometric draw: of ``total`` things ``marked`` are marked; how many of them are among ``drawn`` ones.
 
-    An exchange swaps one of the last LAST picked blocks, or none, for one of the first NEXT that are left, or none.
+    By inversion, exact but for the rounding of doubles: weights, the likeliest number's being 1, are added up to both sides,
+    as far as 12 standard deviations and 60 more, and ``uniform`` (in [0, 1)) says at which number that sum is passed. ``name`` keeps nested draws apart.
     """
-    none = "array(struct(-1 as block, 0L as size))"
-    fitted = f"""aggregate({blocks}, struct(0L as taken, cast(array() as array<struct<block:int,size:bigint>>) as p),
-        (a, x) -> case when a.taken + x.size <= {quota} then struct(a.taken + x.size as taken, concat(a.p, array(struct(x.block as block, x.size as size))) as p) else a end)"""
-    rest = f"concat({none}, transform(slice(filter({blocks}, x -> not array_contains(a.p.block, x.block)), 1, {NEXT}), x -> struct(x.block as block, x.size as size)))"
-    last = f"concat({none}, slice(a.p, greatest(size(a.p) - {LAST - 1}, 1), {LAST}))"
-    best = f"""transform(array({rest}), r -> array_min(flatten(transform({last}, o -> transform(r, i ->
-        struct(abs({quota} - (a.taken - o.size + i.size)) as gap, o.block as o, o.size as os, i.block as i, i.size as isz))))))"""
-    after = f"""transform({best}, b -> struct(a.taken - b.os + b.isz as taken,
-        concat(filter(a.p, x -> x.block <> b.o), filter(array(struct(b.i as block, b.isz as size)), x -> x.block >= 0)) as p))[0]"""
-    return f"aggregate(sequence(1, {ROUNDS}), {fitted}, (a, k) -> {after})"
+    x, v = f"{name}x", f"{name}v"
+    bound = f"""array(struct(cast({total} as bigint) as total, cast({marked} as bigint) as marked, cast({drawn} as bigint) as drawn, cast({uniform} as double) as u))"""
+    low, high = f"greatest(0L, {v}.drawn - ({v}.total - {v}.marked))", f"least({v}.drawn, {v}.marked)"
+    spread = f"sqrt(cast({v}.drawn as double) * {v}.marked * ({v}.total - {v}.marked) / greatest({v}.total, 1) / greatest({v}.total, 1) * ({v}.total - {v}.drawn) / greatest({v}.total - 1, 1))"
+    mode = f"cast(floor((cast({v}.drawn as double) + 1) * ({v}.marked + 1) / (cast({v}.total as double) + 2)) as bigint)"
+    middle = f"transform({bound}, {v} -> struct({v}.total as total, {v}.marked as marked, {v}.drawn as drawn, {v}.u as u, {low} as low, {high} as high, cast(ceil(12 * {spread}) as bigint) + 60 as reach, greatest({low}, least({high}, {mode})) as m))"
+    up = f"(cast({v}.marked - {x} as double) * ({v}.drawn - {x})) / ((cast({x} as double) + 1) * ({v}.total - {v}.marked - {v}.drawn + {x} + 1))"
+    down = f"(cast({x} as double) * ({v}.total - {v}.marked - {v}.drawn + {x})) / ((cast({v}.marked - {x} as double) + 1) * ({v}.drawn - {x} + 1))"
+    above, below = f"sequence({v}.m, least({v}.high, {v}.m + {v}.reach))", f"sequence({v}.m, greatest({v}.low, {v}.m - {v}.reach))"
+
+    def weights(numbers: str, ratio: str) -> str:
+        return f"aggregate({numbers}, struct(1D as w, 0D as t), (a, {x}) -> struct(a.w * {ratio} as w, a.t + a.w as t), a -> a.t)"
+
+    def passed(numbers: str, ratio: str, at: str, skip: str) -> str:
+        start = f"struct(1D as w, {skip} as t, {v}.m as f)"
+        return f"aggregate({numbers}, {start}, (a, {x}) -> struct(a.w * {ratio} as w, a.t + a.w as t, case when a.t <= {at} then {x} else a.f end as f), a -> a.f)"
+
+    # below the likeliest number, which counts above, the sum begins at -1
+    summed = f"transform({middle}, {v} -> struct({v}.total as total, {v}.marked as marked, {v}.drawn as drawn, {v}.low as low, {v}.high as high, {v}.reach as reach, {v}.m as m, {weights(above, up)} as above, {weights(below, down)} - 1 as below, {v}.u as u))"
+    at = f"{v}.u * ({v}.above + {v}.below)"
+    return f"transform({summed}, {v} -> case when {at} < {v}.above or {v}.below <= 0 then {passed(above, up, at, '0D')} else {passed(below, down, f'({at} - {v}.above)', '-1D')} end)[0]"
 
 
 def split_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(shard, rank, n): ``quotas`` (rank, n) split among 2 ** levels shards, exactly.
+    """(shard, rank, n): ``quotas`` (rank, n) split among 2 ** levels shards, exactly, by multivariate hypergeometric draws.
 
-    A node's blocks are halved (left the lesser half of an odd number). Its sources are gone through in order: how many
-    blocks of a source go left is hypergeometric given the blocks and places left. The draw is a rounded normal one of that
-    mean and variance, held to the possible range, so sums are exact whatever is drawn.
+    All places are halved again and again: they are the shards' (the first ones get what is over). A node of the tree is a group of
+    sources with its places in every shard; its FAN parts draw theirs one after the other, each shard after shard, so
+    that what is left is always exactly enough. The leaves are sources.
     """
-    nodes = quotas.groupBy(F.lit(1).alias("node")).agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n")))).alias("q"))
-    normal = f"sqrt(-2 * ln((shiftrightunsigned(xxhash64({SEED}, node, x.rank, 1), 11) + 0.5D) / 9007199254740992D)) * cos(6.283185307179586D * (shiftrightunsigned(xxhash64({SEED}, node, x.rank, 2), 11) + 0.5D) / 9007199254740992D)"
-    mean = "cast(a.need as double) * x.n / greatest(a.rest, 1)"
-    spread = "sqrt(greatest(cast(a.need as double) * x.n / greatest(a.rest, 1) * (1 - cast(x.n as double) / greatest(a.rest, 1)) * (a.rest - a.need) / greatest(a.rest - 1, 1), 0D))"
-    draw = f"least(least(x.n, a.need), greatest(greatest(0L, a.need - (a.rest - x.n)), cast(round({mean} + {normal} * {spread}) as bigint)))"
-    total = "aggregate(q, 0L, (s, x) -> s + x.n)"
-    left = f"""aggregate(q, struct({total} as rest, {total} div 2 as need, cast(array() as array<bigint>) as out),
-        (a, x) -> transform(array({draw}), d -> struct(a.rest - x.n as rest, a.need - d as need, concat(a.out, array(d)) as out))[0], a -> a.out)"""
-    for _ in range(levels):
-        split = nodes.select("node", "q", F.expr(left).alias("l"))
-        nodes = split.select(
-            F.explode(
-                F.array(
-                    F.struct((F.col("node") * 2).alias("node"), F.expr("zip_with(q, l, (x, d) -> struct(x.rank as rank, d as n))").alias("q")),
-                    F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("zip_with(q, l, (x, d) -> struct(x.rank as rank, x.n - d as n))").alias("q")),
-                )
-            ).alias("x")
-        ).select("x.*")
-    return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.explode("q").alias("x")).select("shard", "x.rank", "x.n")
+    shards = 1 << levels
+    quotas = stored(quotas.select(F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n")), "quotas")
+    row = quotas.agg(F.max("rank").alias("last"), F.sum("n").alias("n")).first()
+    if row["n"] is None:
+        return quotas.select(F.lit(0).alias("shard"), "rank", "n")
+    height = 1
+    while FAN**height <= row["last"]:
+        height += 1
+    places = [row["n"] // shards + (k < row["n"] % shards) for k in range(shards)]
+    nodes = None
+    uniform = f"shiftrightunsigned(xxhash64({SEED}, height, c.id, k), 11) / 9007199254740992D"
+    one = hypergeometric("b.rest", "element_at(b.free, k)", "b.need", uniform)
+    # a part's places: shard after shard, of those that are left from there on
+    share = f"""aggregate(sequence(1, {shards}), struct(aggregate(p.free, 0L, (s, y) -> s + y) as rest, c.n as need, p.free as free, cast(array() as array<bigint>) as got),
+        (b, k) -> transform(array({one}), d -> struct(b.rest - element_at(b.free, k) as rest, b.need - d as need, b.free as free, concat(b.got, array(d)) as got))[0], b -> b.got)"""
+    parts = f"""aggregate(parts, struct(free as free, cast(array() as array<struct<id:bigint,free:array<bigint>>>) as out),
+        (p, c) -> transform(array({share}), g -> struct(zip_with(p.free, g, (y, z) -> y - z) as free, concat(p.out, array(struct(c.id as id, g as free))) as out))[0], p -> p.out)"""
+    for level in range(height - 1, -1, -1):
+        groups = quotas.groupBy(F.expr(f"rank div {FAN**level}L").alias("part")).agg(F.sum("n").alias("n"))
+        listed = groups.groupBy(F.expr(f"part div {FAN}L").alias("above")).agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("id"), "n"))).alias("parts"))
+        # the root has all parts of the highest level
+        asked = listed.withColumn("free", F.array(*[F.lit(x).cast("long") for x in places])) if nodes is None else nodes.join(listed.hint("merge"), F.col("id") == F.col("above"))
+        nodes = stored(asked.withColumn("height", F.lit(level)).select(F.explode(F.expr(parts)).alias("x")).select("x.*"), "tree")
+    return nodes.select(F.col("id").alias("rank"), F.posexplode("free").alias("shard", "n")).select("shard", "rank", "n")
 
 
 def plan(sizes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -106,25 +141,25 @@ def plan(sizes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     sources = stored(targets(sizes), "targets")
     at = sizes.join(sources, sizes["__source"].eqNullSafe(sources["__source"])).select("rank", "__size", F.pmod("__hash", F.col("blocks")).cast("int").alias("block"))
     blocks = at.groupBy("rank", "block").agg(F.sum("__size").alias("size"))
-    listed = blocks.groupBy("rank").agg(F.collect_list(F.struct("block", "size")).alias("all"))
-    tries = sources.join(listed, "rank").select("rank", "epochs", "quota", "all", F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"))
+    # arrays compress so well that their files say little of their size: joins of them are by sorting, never by broadcast
+    listed = stored(sources.join(blocks.groupBy("rank").agg(F.collect_list(F.struct("block", "size")).alias("all")).hint("merge"), "rank").select("rank", "epochs", "quota", "all", "docs"), "source-blocks")
+    starts = F.greatest(F.lit(STARTS), F.least(F.lit(MOST_STARTS), F.expr(f"{BLOCKS} div docs"))).cast("int")
+    tries = listed.select("rank", "quota", "all", F.explode(F.sequence(F.lit(1), starts)).alias("start"))
     # few bytes, but much work a row: a number keeps them from being put together again
     tries = tries.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "start")
-    permuted = F.sort_array(F.transform(F.filter("all", lambda x: x["size"] > 0), lambda x: F.struct(F.xxhash64(F.lit(SEED), "start", "rank", x["block"]).alias("order"), x["block"].alias("block"), x["size"].alias("size"))))
-    chosen = tries.withColumn("of", permuted).withColumn("picked", F.expr(_picked("of", "quota")))
-    best = F.min_by(F.struct("epochs", "all", "picked.p"), F.struct(F.abs(F.col("quota") - F.col("picked.taken")), "start"))
-    chosen = chosen.groupBy("rank").agg(best.alias("b")).select("rank", "b.epochs", F.transform("b.all", lambda x: x["block"]).alias("of"), F.transform("b.p", lambda x: x["block"]).alias("picked"))
+    nearest = tries.select("rank", "quota", "start", F.expr(_PERMUTED).alias("of")).select("rank", F.expr(_NEAREST).alias("x")).groupBy("rank").agg(F.min("x").alias("x")).select("rank", "x.start", "x.best")
+    chosen = listed.join(nearest.hint("merge"), "rank").select("rank", "epochs", "all", F.slice(F.expr(_PERMUTED), F.lit(1), F.col("best")).alias("picked"))
     drawn = F.concat(
-        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.when(e < F.col("epochs"), F.transform("of", lambda x: F.struct(e.alias("epoch"), x.alias("block")))).otherwise(F.expr("cast(array() as array<struct<epoch:int,block:int>>)")))),
-        F.transform("picked", lambda b: F.struct(F.col("epochs").alias("epoch"), b.alias("block"))),
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.when(e < F.col("epochs"), F.transform("all", lambda x: F.struct(e.alias("epoch"), x["block"].alias("block")))).otherwise(F.expr("cast(array() as array<struct<epoch:int,block:int>>)")))),
+        F.transform("picked", lambda x: F.struct(F.col("epochs").alias("epoch"), x["block"].alias("block"))),
     )
     drawn = stored(chosen.select("rank", drawn.alias("drawn")), "drawn")
     leaves = split_tree(drawn.select("rank", F.size("drawn").alias("n")), levels)
-    upto = leaves.withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(F.sort_array(F.collect_list("upto")).alias("upto"))
+    quotas = leaves.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("quotas"))
     # a source's drawn blocks in permuted order; a shard takes the next ones up to its quota
-    instances = drawn.select("rank", F.explode("drawn").alias("x")).select("rank", "x.epoch", "x.block")
-    nth = F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(SEED + 1), "rank", "epoch", "block"), "epoch", "block")) - 1
-    dealt = instances.withColumn("nth", nth).join(upto, "rank").select("rank", "block", "epoch", F.expr("size(filter(upto, u -> u <= nth))").alias("shard"))
+    order = F.sort_array(F.transform("drawn", lambda x: F.struct(F.xxhash64(F.lit(SEED + 1), "rank", x["epoch"], x["block"]).alias("o"), x["epoch"].alias("epoch"), x["block"].alias("block"))))
+    shards = F.flatten(F.transform("quotas", lambda q: F.array_repeat(q["shard"], q["n"].cast("int"))))
+    dealt = drawn.join(quotas.hint("merge"), "rank").select("rank", F.explode(F.arrays_zip(order.alias("of"), shards.alias("shard"))).alias("x")).select("rank", "x.of.block", "x.of.epoch", "x.shard")
     return sources, stored(dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("draws")), "draws")
 
 

@@ -2,9 +2,12 @@
 
 import glob
 import re
+from math import comb
+from statistics import NormalDist
 
 import corpus_pipeline
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, queries
@@ -94,3 +97,52 @@ def test_shards_are_shuffled(spark, sf_dir, tmp_path):
     corpus_pipeline.mix(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mix")
     written = [k for f in sorted(glob.glob(f"{tmp_path}/mix/part-*")) for k in pq.read_table(f)["doc_id"].to_pylist()]
     assert written == [r["doc_id"] for r in rows]
+
+
+def exact(total, marked, drawn):
+    low, high = max(0, drawn - (total - marked)), min(drawn, marked)
+    return {x: comb(marked, x) * comb(total - marked, drawn - x) / comb(total, drawn) for x in range(low, high + 1)}
+
+
+@pytest.mark.parametrize("case", [(20, 8, 5), (50, 25, 25), (10, 10, 3), (10, 0, 4), (7, 3, 7), (400, 30, 120), (0, 0, 0), (5, 2, 0), (4096, 256, 1000)])
+def test_draws_are_hypergeometric(spark, case):
+    """Evenly spaced numbers give every value as often as its probability says."""
+    n = 20_000
+    draw = mixing.hypergeometric(*[f"{x}L" for x in case], f"(id + 0.5D) / {n}")
+    got = {r.x: r["count"] / n for r in spark.range(n).select(F.expr(draw).alias("x")).groupBy("x").count().collect()}
+    expected = exact(*case)
+    assert set(got) <= set(expected)
+    assert all(abs(got.get(x, 0) - p) <= 2 / n for x, p in expected.items())
+
+
+def test_large_draw(spark):
+    total, marked, drawn = 10**9, 62_500_000, 500_000_000
+    draw = mixing.hypergeometric(f"{total}L", f"{marked}L", f"{drawn}L", "(id + 0.5D) / 16")
+    mean = drawn * marked / total
+    spread = (mean * (1 - marked / total) * (total - drawn) / (total - 1)) ** 0.5
+    off = sorted((r.x - mean) / spread for r in spark.range(16).select(F.expr(draw).alias("x")).collect())
+    assert all(abs(x - NormalDist().inv_cdf((i + 0.5) / 16)) < 0.25 for i, x in enumerate(off))
+
+
+def test_tables_of_quotas_are_multivariate_hypergeometric(spark, monkeypatch):
+    """Over many seeds, the table of two sources and two shards has the distribution that shuffling all blocks gives."""
+    quotas = spark.createDataFrame([(0, 6), (1, 10)], "rank int, n int")
+    seen = {}
+    for seed in range(24):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        rows = {(r.shard, r["rank"]): r.n for r in mixing.split_tree(quotas, 1).collect()}
+        assert rows[0, 0] + rows[0, 1] == rows[1, 0] + rows[1, 1] == 8 and rows[0, 0] + rows[1, 0] == 6
+        seen[rows[0, 0]] = seen.get(rows[0, 0], 0) + 1
+    expected = exact(16, 6, 8)
+    grouped = [(sum(seen.get(x, 0) for x in g), 24 * sum(expected[x] for x in g)) for g in ((0, 1, 2), (3,), (4, 5, 6))]
+    assert sum((n - e) ** 2 / e for n, e in grouped) < 13.8  # two degrees of freedom, one in a thousand
+
+
+def test_many_sources(spark):
+    """Several levels of groups of sources."""
+    quotas = spark.range(5000).select(F.col("id").alias("rank"), (F.col("id") % 7).alias("n"))
+    rows = mixing.split_tree(quotas, 2)
+    assert rows.groupBy("rank").agg(F.sum("n").alias("n")).where("n <> rank % 7").count() == 0 and rows.where("n < 0").count() == 0
+    assert sorted(r["sum(n)"] for r in rows.groupBy("shard").sum("n").collect()) == sorted(sum(i % 7 for i in range(5000)) // 4 + (k < sum(i % 7 for i in range(5000)) % 4) for k in range(4))
+    docs = [(i, "w " * (1 + i % 9), f"host{i * 7919 % 300}") for i in range(1500)]
+    check(mixing.taken(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect(), docs, 0.02)
