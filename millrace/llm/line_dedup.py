@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SEPARATORS, input_bytes, stored
 
-#: Edits within which a line repeats an earlier one, unless told otherwise, and code points from which a line is compared other than exactly.
-EDITS, LEAST_CHARS = 1, 20
+#: Edits within which a line repeats an earlier one, unless told otherwise, and at most.
+EDITS, MOST_EDITS = 1, 19
 #: Segments of the lines of a key that more than HOT lines index.
 FINE, HOT = 32, 64
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
@@ -98,7 +98,7 @@ def _shifted_pairs(lines: DataFrame, edits: int) -> DataFrame:
     places = [(False, 0, j, 0) for j in range(edits + 1)] + [(True, *x) for x in looks]
     listed = F.expr("array(" + ", ".join(f"struct({str(p).lower()} as probe, {d} as d, {j} as j, {s} as s)" for p, d, j, s in places) + ")")
     at = lines.select("id", "no", "h", "line", F.length("line").alias("n"), F.explode(listed).alias("x")).select("id", "no", "h", "line", "n", "x.*")
-    at = at.withColumn("l", F.col("n") - F.col("d")).where(F.col("l") >= LEAST_CHARS)
+    at = at.withColumn("l", F.col("n") - F.col("d")).where("l > 0")
     at = at.withColumn("start", F.expr(f"cast(j * l div {edits + 1} as int)")).withColumn("size", F.expr(f"cast((j + 1) * l div {edits + 1} as int) - start"))
     at = at.where("start + s >= 0 and start + s + size <= n")
     keyed = stored(at.select(F.expr("xxhash64(l, j, substring(line, start + s + 1, size))").alias("key"), "probe", "id", "no", "h"), "line-keys")
@@ -161,8 +161,8 @@ def _candidates(texts: DataFrame, each: DataFrame) -> DataFrame:
 
 def _deduped(docs: DataFrame, edits: int) -> DataFrame:
     """``docs`` with __text (what is left), __lines (those with a word) and __removed."""
-    if not 1 <= edits < LEAST_CHARS:
-        raise ValueError(f"edits must be from 1 to {LEAST_CHARS - 1}, not {edits}")
+    if not 1 <= edits <= MOST_EDITS:
+        raise ValueError(f"edits must be from 1 to {MOST_EDITS}, not {edits}")
     largest = (1 << 63) - 1
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("text")]
@@ -174,7 +174,7 @@ def _deduped(docs: DataFrame, edits: int) -> DataFrame:
     # every line once, at its first place, with its keys
     split = texts.select("id", "text").join(owned.withColumnRenamed("id", "o"), F.col("id") == F.col("o"))
     each = split.withColumn("lines", F.split("text", "\n")).select("id", F.explode(F.expr("transform(owned, x -> struct(x.no as no, x.h as h, get(lines, x.no) as line))")).alias("x")).select("id", "x.*")
-    each = each.where((F.xxhash64("line") == F.col("h")) & (F.length("line") >= LEAST_CHARS))
+    each = each.where(F.xxhash64("line") == F.col("h"))
     pairs = (_candidates(texts, each) if edits == 1 else _shifted_pairs(each, edits)).distinct()
     both = _lines_of(texts, _lines_of(texts, pairs, "a_").drop("id").withColumnRenamed("line", "x"), "b_").withColumnRenamed("line", "y")
     close = _within_one_edit("x", "y") if edits == 1 else f"levenshtein(x, y, {edits}) >= 0"
@@ -196,8 +196,8 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Per row: doc_id, n_lines (lines with a word), n_removed and kept_sha256 (of the lines left, joined by newlines).
 
     Lines are what newlines split; of those with a word, one goes if an equal line occurs earlier (smaller doc_id, or earlier
-    in the document), or if its first occurrence has a line within ``edits`` edits before it, both of LEAST_CHARS code points or
-    more; lines are judged on the input. Lines without a word stay. Null texts are empty. A null doc_id counts as the
+    in the document), or if its first occurrence has a line within ``edits`` edits before it, however short
+    they are; lines are judged on the input. Lines without a word stay. Null texts are empty. A null doc_id counts as the
     largest; rows of one doc_id are one document: equal rows get the same result, and a line that differing rows share stays where it has
     the smaller number. Further columns are ignored; an empty table gives an empty one.
     """
@@ -216,10 +216,13 @@ SQL = r"""with d as (select doc_id, coalesce(doc_id, 9223372036854775807) as id,
 lines as (select k, id, unnest(range(0, len(string_split(text, chr(10))))) as no, unnest(string_split(text, chr(10))) as line from d),
 judged as (select *, regexp_matches(line, '[^\x20\x09-\x0D]') as word from lines),
 firsts as (select line, min((id, no)) as p from judged where word group by line),
-long as (select line, p, length(line) as n, left(line, 10) as head, right(line, 10) as tail from firsts where length(line) >= 20),
-pairs as (select a.line as x, b.line as y from long a join long b on a.head = b.head and a.p < b.p and abs(a.n - b.n) <= 1
-    union select a.line, b.line from long a join long b on a.tail = b.tail and a.p < b.p and abs(a.n - b.n) <= 1),
-near as (select distinct y from pairs where levenshtein(x, y) <= 1),
+sized as (select line, p, length(line) as n from firsts),
+lesser as (select *, unnest([n, n - 1]) as m from sized),
+halves as (select line, p, n, m, unnest([0, 1]) as part, unnest([left(line, m // 2), right(line, m - m // 2)]) as half from lesser),
+pairs as (select distinct a.line as x, b.line as y from halves a join halves b on a.m = b.m and a.part = b.part and a.half = b.half and a.p < b.p and least(a.n, b.n) = a.m),
+-- code points, which levenshtein() does not count: what follows the common beginning is equal but for one of them
+begun as (select x, y, list_max([i for i in range(0, least(length(x), length(y)) + 1) if left(x, i) = left(y, i)]) as p from pairs),
+near as (select distinct y from begun where case length(x) - length(y) when 0 then substr(x, p + 2) = substr(y, p + 2) when 1 then substr(x, p + 2) = substr(y, p + 1) when -1 then substr(x, p + 1) = substr(y, p + 2) end),
 marked as (select j.k, j.no, j.line, j.word, not j.word or (f.p = (j.id, j.no) and j.line not in (select y from near)) as stays
     from judged j left join firsts f on f.line = j.line and j.word),
 texts as (select k, count(*) filter (word) as n_lines, count(*) filter (not stays) as n_removed, coalesce(string_agg(line, chr(10) order by no) filter (stays), '') as kept from marked group by k)

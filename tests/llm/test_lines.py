@@ -29,7 +29,7 @@ def brute(docs):
         for no, line in enumerate(t.split("\n")):
             if re.search(r"[^\x20\x09-\x0D]", line) and line not in place:
                 place[line] = (i, no)
-                if len(line) >= 20 and any(abs(len(x) - len(line)) < 2 and edits(x, line) < 2 for x in seen if len(x) >= 20):
+                if any(abs(len(x) - len(line)) < 2 and edits(x, line) < 2 for x in seen):
                     gone.add(line)
                 seen.append(line)
     for i, k, t in docs:
@@ -105,14 +105,14 @@ def test_several_edits(spark, most):
     seen, gone = [], 0
     for _, text in sorted(docs):
         for line in text.split("\n"):
-            gone += line in seen or len(line) >= 20 and any(len(x) >= 20 and edits(x, line) <= most for x in seen)
+            gone += line in seen or any(edits(x, line) <= most for x in seen)
             seen.append(line)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     per = {r.doc_id: r.n_removed for r in line_dedup.dedup(df, most).collect()}
     kept = []
     seen = []
     for k, text in sorted(docs):
-        left = [x for x in text.split("\n") if not (x in seen or seen.append(x)) and not (len(x) >= 20 and any(len(y) >= 20 and edits(x, y) <= most for y in seen[:-1]))]
+        left = [x for x in text.split("\n") if not (x in seen or seen.append(x)) and not any(edits(x, y) <= most for y in seen[:-1])]
         kept.append((k, sha256("\n".join(left).encode()).hexdigest()))
     assert sum(per.values()) == gone > sum(r.n_removed for r in line_dedup.dedup(df).collect())
     assert sorted((r.doc_id, r.kept_sha256) for r in line_dedup.dedup(df, most).collect()) == kept
