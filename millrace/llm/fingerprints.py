@@ -25,8 +25,8 @@ from millrace.llm.common import input_bytes, python_workers, text_of
 _LEAF = re.compile(r"[^.,;:!?|]{1,160}[.,;:!?| ]*|[.,;:!?|][.,;:!?| ]*")
 #: A paragraph ends a section if its hash is a multiple of this.
 SECTION = 8
-#: Bytes of input dealt to a partition.
-PARTITION_BYTES = 16 << 20
+#: Bytes of input dealt to a partition; partitions at most, four ranges each, whose bounds (a number each) the driver holds.
+PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 50_000
 
 
 def fingerprint(text: str) -> str:
@@ -136,7 +136,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     python_workers(spark)
     lowest = -(1 << 63)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), text_of().alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PARTITION_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-input_bytes(docs) // PARTITION_BYTES)))
     ranges = 4 * parts
     got = slim.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] + [1.0], 10 * ranges).alias("q"), F.max("key").alias("top")).first()
     cuts = np.array(sorted({*(got["q"] or ()), got["top"]}) if got["top"] is not None else [0], dtype=np.int64)

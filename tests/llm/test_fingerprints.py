@@ -1,7 +1,9 @@
 """Fingerprints against a plain pass over the sorted documents."""
 
+from collections import Counter
 from hashlib import sha256
 
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -22,6 +24,61 @@ def brute(docs):
     return out
 
 
+def clauses(line):
+    """The leaves of a paragraph, character by character: up to 160 characters, then all punctuation, bars and spaces that follow
+    punctuation or the cut; what begins with punctuation is a leaf of its own."""
+    stops, out, at = ".,;:!?|", [], 0
+    while at < len(line):
+        begin = at
+        if line[at] in stops:
+            at += 1
+        else:
+            while at < len(line) and line[at] not in stops and at - begin < 160:
+                at += 1
+        while at < len(line) and line[at] in stops + " ":
+            at += 1
+        out.append(line[begin:at])
+    return out
+
+
+def digest(kind, parts):
+    return xxhash.xxh3_128(kind + b"".join(parts)).digest()
+
+
+def by_hand(text):
+    """(root, leaves with repeats) of the tree: built level by level from nested lists."""
+    paragraphs = [(line, [xxhash.xxh3_128(c.encode()).digest() for c in clauses(line)]) for line in text.split("\n")] if text else []
+    nodes = [(line, digest(b"p", leaves)) for line, leaves in paragraphs]
+    sections = [[]]
+    for line, node in nodes:
+        sections[-1].append(node)
+        if line == "" or node[-1] % 8 == 0:
+            sections.append([])
+    root = sha256(b"".join(digest(b"s", s) for s in sections if s)).hexdigest()[:32]
+    return root, Counter(c[:4] for _, leaves in paragraphs for c in leaves)
+
+
+def dice(a, b):
+    (root, x), (other, y) = by_hand(a), by_hand(b)
+    if root == other:
+        return 1.0
+    both = sum((x & y).values())
+    return 2.0 * both / (sum(x.values()) + sum(y.values())) if both else 0.0
+
+
+def test_against_trees_by_hand(spark, sf_dir):
+    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = result(queries.op4_document_fingerprints(spark, sf_dir))
+    for i, (k, text) in enumerate(docs):
+        following = docs[(i + 1) % len(docs)][1]
+        half = len(text) // 2
+        e = text[: len(text) - half] + following[:half]
+        n, sha, own, edited, near_edited, near_next = got[k]
+        assert (n, sha) == (len(text), sha256(e.encode()).hexdigest())
+        assert own.split(";")[0] == by_hand(text)[0] and edited.split(";")[0] == by_hand(e)[0]
+        assert abs(near_edited - dice(text, e)) < 1e-12 and abs(near_next - dice(text, following)) < 1e-12
+
+
 def result(df):
     return {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in df.collect()}
 
