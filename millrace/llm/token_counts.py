@@ -45,8 +45,13 @@ class PieceLengths:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if self._length(" \t\n a") != self._length("a") or self._length("a\n don't 12") != sum(map(self._length, ("a", "don't", "12"))):
+            raise ValueError(f"{path}: a tokenizer that drops white space is expected")
         self.known: dict[bytes, int] = {}
 
+    def _length(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def learn(self, pieces: set[bytes]) -> dict[bytes, int]:
         """Encode in batches balanced by bytes; only lengths are kept."""
         found: dict[bytes, int] = {}

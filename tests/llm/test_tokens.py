@@ -115,3 +115,21 @@ def test_segments():
     parts = list(token_counts.segments(text, 64))
     assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
     assert list(token_counts.segments(b"")) == [b""]
+
+
+def test_small_batches_of_counts(monkeypatch):
+    """Lengths forgotten in between, and texts counted segment by segment, add up to the library's counts."""
+    rng = random.Random(6)
+    texts = ODD + [" ".join(rng.choice(["the", "Ünter", "a,b", "日本", "<|endoftext|>", f"w{i}"]) for i in range(rng.randrange(300))) for _ in range(30)]
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 20)
+    monkeypatch.setattr(token_counts.segments, "__defaults__", (64,))
+    lib = library_once()
+    assert token_counts.PieceLengths(queries.tokenizer_path()).count([x.encode() for x in texts]) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.PieceLengths(public_tokenizers.path("byte_bpe_50k.json"))
