@@ -21,21 +21,21 @@ HOST_RATE = 0.5
 def _repeat_words(words: str, n: str) -> Column:
     """Words in windows that occur twice or more, first occurrences included.
 
-    Windows of different 64-bit hashes differ, so a text without equal hashes has none. Else the windows themselves are
-    sorted with their places; those equal to a neighbour are repeated, and a pass over their places adds up what they cover.
-    Arrays are bound as lambda variables, which are evaluated once.
+    Windows of different 64-bit hashes differ, so a text without equal hashes has none. Else hashes are sorted with their places, and
+    neighbours of one hash compared word by word; a pass over the places of the equal ones adds up what they cover. No window is
+    written out, so a long text takes two numbers a word. Arrays are bound as lambda variables, which are evaluated once.
     """
     k = REPEAT_WINDOW
-    places = f"sequence(1, {n} - {k - 1})"
-    exact = f"""transform(array(array_sort(transform({places}, i -> struct(array_join(slice(w, i, {k}), ' ') as s, i as i)))), p ->
+    equal = f"(get(p, {{0}}).s = x.s and slice(w, get(p, {{0}}).i, {k}) = slice(w, x.i, {k}))"
+    exact = f"""transform(array(array_sort(transform(h, (s, j) -> struct(s as s, j + 1 as i)))), p ->
         aggregate(
-            array_sort(transform(filter(p, (x, j) -> (j > 0 and get(p, j - 1).s = x.s) or (j < size(p) - 1 and get(p, j + 1).s = x.s)), x -> x.i)),
+            array_sort(transform(filter(p, (x, j) -> (j > 0 and {equal.format("j - 1")}) or (j < size(p) - 1 and {equal.format("j + 1")})), x -> x.i)),
             struct(0 as covered, -{k} as last),
             (a, i) -> struct(a.covered + least({k}, i - a.last) as covered, i as last),
             a -> a.covered))[0]"""
     return F.expr(
         f"""case when {n} <= {k} then 0 else transform(array({words}), w ->
-        case when transform(array(transform({places}, i -> xxhash64(slice(w, i, {k})))), h -> size(array_distinct(h)) = size(h))[0] then 0 else {exact} end)[0] end"""
+        transform(array(transform(sequence(1, {n} - {k - 1}), i -> xxhash64(slice(w, i, {k})))), h -> case when size(array_distinct(h)) = size(h) then 0 else {exact} end)[0])[0] end"""
     ).cast("long")
 
 
