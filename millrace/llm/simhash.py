@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import python_workers, stored, text_of
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
-#: Shingles whose bits are counted at once.
-_BLOCK = 1 << 16
+#: Shingles whose bits are counted at once; places among which the members of a component are dealt.
+_BLOCK, SALTS = 1 << 16, 64
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -147,15 +147,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a component are null. Further columns are ignored; an empty table gives an empty one.
     """
     prints = stored(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")), "fingerprints")
-    return prints.join(classes(prints, F.col("doc_id"), radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    # written, so that the join below stands alone and Spark may split the rows of a fingerprint that very many have
+    found = stored(classes(prints, F.col("doc_id"), radius), "classes")
+    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def classes(prints: DataFrame, order: Column, radius: int = RADIUS) -> DataFrame:
     """(fp, least): for each fingerprint the smallest ``order`` within its component."""
-    distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    distinct = stored(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
     label = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
-    labelled = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    return labelled.select("fp", "label").join(labelled.groupBy("label").agg(F.min("least").alias("least")), "label").select("fp", "least")
+    linked = stored(distinct.join(label, "fp"), "linked")  # those that have a link at all
+    # a component may hold a large part of them: what it has in common meets its members in SALTS places
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    common = linked.groupBy("label").agg(F.min("least").alias("common")).select("label", "common", salts)
+    found = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(common.hint("merge"), ["label", "salt"]).select("fp", "common")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("common", "least").alias("least"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

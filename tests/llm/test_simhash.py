@@ -79,3 +79,10 @@ def test_components_of_a_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(-1, -9)], "a long, b long"))
     got = {r.node: r.label for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(200)}, -1: -9, -9: -9}
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    text = " ".join(f"w{i * 31 % 977}" for i in range(70_000)).encode()
+    whole = simhash.simhash(text)
+    monkeypatch.setattr(simhash, "_BLOCK", 1000)
+    assert simhash.simhash(text) == whole
