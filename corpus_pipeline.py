@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by words: the one of the smallest doc_id, then of the least hash of its text; null comes
-    last. Texts without words are a group; of repeated rows one stays."""
+    """One document of each group of near copies, by words, found by covering SimHash (operator 9) and checked exactly: the one of the
+    smallest doc_id, then of the least hash of its text; null comes last. Texts without words are a group; of repeated rows one stays."""
     return copies.keep_one(docs)
 
 

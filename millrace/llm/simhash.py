@@ -23,10 +23,10 @@ BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
 _BLOCK, SALTS = 1 << 16, 64
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The covering family: 2 ** (radius + 1) - 1 masks of 64 bits."""
+def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """The covering family: 2 ** (radius + 1) - 1 masks of ``bits`` bits."""
     vectors = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    return [sum(1 << i for i in range(bits) if ((i % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
 def simhash(text: bytes) -> int:
