@@ -30,7 +30,7 @@ def find_blocks(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     An as-of join: targets and segment starts are sorted together and each target takes the last start before it, so no
     pairs arise, however many segments there are. No topic goes through one task: the rows are range-partitioned and stored with
     their partition, and where a topic's rows in a partition begin with targets, these take the topic's last start in the partitions
-    before, of which there is a row for each topic and partition.
+    before, of which there is a row for each topic and partition; only these rows may be broadcast, which an outer join sees to.
     """
     bounds = block_bounds(blocks)
     starts = bounds.select("topic", F.col("block").alias("at"), F.lit(0).alias("kind"), F.struct("block", "upto").alias("found"))
@@ -41,7 +41,7 @@ def find_blocks(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     before = F.last("end", ignorenulls=True).over(Window.partitionBy("topic").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     carried = ends.select("topic", "part", before.alias("carried"))
     last = F.last("found", ignorenulls=True).over(Window.partitionBy("topic", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = ranged.withColumn("own", last).where("kind = 1").join(carried, ["topic", "part"]).withColumn("f", F.coalesce("own", "carried"))
+    found = ranged.withColumn("own", last).where("kind = 1 and topic is not null").join(carried, ["topic", "part"], "left").withColumn("f", F.coalesce("own", "carried"))
     return found.select("topic", F.col("at").alias("target"), F.when(F.col("at") < F.col("f.upto"), F.col("f.block")).alias("block"))
 
 

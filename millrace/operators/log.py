@@ -33,17 +33,18 @@ def assign_offsets(entries: DataFrame, heads: DataFrame | None = None) -> DataFr
 
     ``heads`` has (topic, next_offset) of topics that exist. No topic goes through one task: rows are range-partitioned
     and sorted by topic and order, stored with their place in their partition, and each partition adds the number of
-    rows that its topic has in the partitions before. Those counts are a row for each topic and partition it touches.
+    rows that its topic has in the partitions before. Those counts are a row for each topic and partition it touches; only they may be
+    broadcast, which an outer join sees to: zstd makes the rows look small enough.
     """
     order = [c for c in entries.columns if c.startswith("o") and c[1:].isdigit()]
-    ordered = entries.repartitionByRange("topic", *order).sortWithinPartitions("topic", *order).withColumn("__at", F.monotonically_increasing_id())
+    ordered = entries.where(F.col("topic").isNotNull()).repartitionByRange("topic", *order).sortWithinPartitions("topic", *order).withColumn("__at", F.monotonically_increasing_id())
     placed = stored(ordered, "ordered").withColumn("__part", F.shiftright("__at", _ROW_BITS))
     counts = placed.groupBy("topic", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("topic").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("topic", "__part", "__first", before.alias("__base"))
     if heads is not None:
         base = base.join(heads.select("topic", "next_offset"), "topic", "left").withColumn("__base", F.col("__base") + F.coalesce("next_offset", F.lit(0))).drop("next_offset")
-    numbered = placed.join(base, ["topic", "__part"]).withColumn("offset", F.col("__base") + F.col("__at") - F.col("__first"))
+    numbered = placed.join(base, ["topic", "__part"], "left").withColumn("offset", F.col("__base") + F.col("__at") - F.col("__first"))
     return numbered.drop("__at", "__part", "__first", "__base", *order)
 
 
@@ -95,9 +96,14 @@ def roll_blocks(written: DataFrame, max_block: int, heads: DataFrame | None = No
     return rows.repartition("topic").sortWithinPartitions("topic", "batch_id").mapInArrow(fold, "topic string, batch_id long, block long, head_bytes long")
 
 
+def in_blocks(log: DataFrame, rolled: DataFrame) -> DataFrame:
+    """``log`` with ``block``, of ``roll_blocks``. Requests grow with the log, so neither side is broadcast."""
+    return log.hint("merge").join(rolled.select("topic", "batch_id", "block"), ["topic", "batch_id"])
+
+
 def with_blocks(log: DataFrame, max_block: int) -> DataFrame:
     """``log`` with ``block``."""
-    return log.join(roll_blocks(requests(log), max_block).select("topic", "batch_id", "block"), ["topic", "batch_id"])
+    return in_blocks(log, roll_blocks(requests(log), max_block))
 
 
 def block_info(log: DataFrame) -> DataFrame:

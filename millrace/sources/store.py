@@ -1,7 +1,8 @@
 """The log in Parquet: append, read, list, follow.
 
-``root/data/commit=<id>`` holds the entries that a write added, partitioned by topic and block, ``root/status`` the state of every
-topic after it; ``root/commits/<n>.json`` publishes both. A commit's file is created under a new number or not at all, so of
+``root/data/commit=<id>`` holds the entries that a write added, partitioned by topic and sorted by offset, with their block as a column:
+so files grow with the bytes, not with the segments. (Commits without ``layout`` in their file have a folder for each block; they
+are read all the same.) ``root/status`` has the state of every topic after it; ``root/commits/<n>.json`` publishes both. A commit's file is created under a new number or not at all, so of
 two writers one comes first, and readers see whole commits only. A read fixes its commits when it is planned. Lease files say
 who may write, to all topics or to some.
 """
@@ -16,6 +17,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,10 @@ from millrace.operators import log as ops
 from millrace.operators import read
 from millrace.tables import filesystem, stored
 
+#: How a commit's data lies: 2 has the block in the files; None, as written before, in the folders.
+LAYOUT = 2
 SCHEMA = "offset long, content binary, byte_size long, batch_id long, topic string, block long"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 STATUS = "topic string, next_offset long, head_block long, head_bytes long, next_batch long"
 
 
@@ -212,8 +217,8 @@ class LogStore:
         new = [n for n in self.commits() if n not in self._known]
         paths = {n: f"{self.root}/commits/{n:020d}.json" for n in new}
         if len(new) > 16:
-            rows = self.spark.read.schema("id string, wrote long, token string").json(list(paths.values())).select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long").alias("n"), "id", "wrote", "token")
-            self._known |= {r.n: {"id": r.id, "wrote": r.wrote, "token": r.token} for r in rows.collect()}
+            rows = self.spark.read.schema("id string, wrote long, token string, layout long").json(list(paths.values())).select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long").alias("n"), "id", "wrote", "token", "layout")
+            self._known |= {r.n: {"id": r.id, "wrote": r.wrote, "token": r.token} | ({"layout": r.layout} if r.layout else {}) for r in rows.collect()}
         else:
             self._known |= {n: json.loads(_text(self.spark, p)) for n, p in paths.items()}
         return self._known
@@ -236,11 +241,15 @@ class LogStore:
     def log(self, commits: list[int] | None = None) -> DataFrame:
         """LOG of the given commits, or of all that are published now."""
         found = self._manifests()
-        paths = [f"{self.root}/data/commit={found[n]['id']}" for n in (sorted(found) if commits is None else commits) if found[n]["wrote"]]
+        paths: dict[int | None, list[str]] = {}
+        for n in sorted(found) if commits is None else commits:
+            if found[n]["wrote"]:
+                paths.setdefault(found[n].get("layout"), []).append(f"{self.root}/data/commit={found[n]['id']}")
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        # one scan of all commits: ``commit`` is a partition column, read and dropped again
-        return self.spark.read.schema(SCHEMA + ", commit string").option("basePath", f"{self.root}/data").parquet(*paths).drop("commit")
+        # one scan of all commits of a layout: ``commit`` is a partition column, read and dropped again
+        read = self.spark.read.schema(SCHEMA + ", commit string").option("basePath", f"{self.root}/data")
+        return reduce(DataFrame.union, [read.parquet(*p).select(*COLUMNS) for p in paths.values()])
 
     def write(self, entries: DataFrame, token: str | None = None) -> int:
         """Append ``entries`` (topic, content, o0, o1, ...: see ``as_entries``); returns how many. Nothing is published
@@ -268,9 +277,8 @@ class LogStore:
         if rolled.isEmpty():
             return 0
         target = f"{self.root}/data/commit={name}"
-        blocks = rolled.select("topic", "batch_id", "block")
-        placed = log.join(blocks, ["topic", "batch_id"]).select("offset", "content", "byte_size", "batch_id", "topic", "block")
-        placed.repartitionByRange("topic", "block", "offset").sortWithinPartitions("topic", "block", "offset").write.partitionBy("topic", "block").parquet(target)
+        placed = ops.in_blocks(log, rolled).select(*COLUMNS)
+        placed.repartitionByRange("topic", "block", "offset").sortWithinPartitions("topic", "block", "offset").write.partitionBy("topic").parquet(target)
         new = self.spark.read.schema(SCHEMA).parquet(target)
         now = new.groupBy("topic").agg((F.max("offset") + 1).alias("next_offset"), F.max("block").alias("head_block"), (F.max("batch_id") + 1).alias("next_batch"), F.count("*").alias("n"))
         ends = rolled.groupBy("topic").agg(F.max_by("head_bytes", "batch_id").alias("head_bytes"))
@@ -282,7 +290,7 @@ class LogStore:
             changed.unionByName(self.status().join(changed, "topic", "left_anti")).coalesce(8).write.parquet(f"{self.root}/status/{name}-{commit}")
             if not ours():
                 raise LeaseError(f"{self.root}: the lease was lost")
-            if self._publish(commit, {"id": name, "wrote": wrote, "token": token}):
+            if self._publish(commit, {"id": name, "wrote": wrote, "token": token, "layout": LAYOUT}):
                 return wrote
             if self.only is None:
                 raise LeaseError(f"{self.root}: commit {commit} is another writer's")

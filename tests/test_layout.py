@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from millrace.operators import index
 from millrace.operators import log as ops
 from millrace.sources.store import LogStore
 
@@ -69,3 +70,16 @@ assert spark.read.format("segments").load("0.log").count() == 1
 """
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180, capture_output=True)
+
+
+def test_no_join_broadcasts_the_log(spark):
+    """A log's files may be far smaller than its rows, so that either side of a join looks small: only counts by partition are broadcast."""
+    entries = ops.as_entries(spark.range(1000).select(F.lit("t").alias("t"), F.lit(b"x").alias("c"), "id"), "t", "c", "id")
+    text = plan(ops.assign_offsets(entries))
+    assert "LeftOuter" in text and "BuildLeft" not in text and "Inner" not in text
+    log = ops.with_requests(spark.createDataFrame([], "topic string, offset long, content binary"), 10)
+    text = plan(ops.with_blocks(log, 100))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    targets = spark.range(9).select(F.lit("t").alias("topic"), F.col("id").alias("target"))
+    text = plan(index.find_blocks(targets, spark.createDataFrame([("t", 0, 8)], "topic string, block long, last_offset long")))
+    assert "LeftOuter" in text and "BuildLeft" not in text and "Inner" not in text

@@ -177,3 +177,34 @@ def test_many_commits_are_read_by_one_job(spark, tmp_path):
         assert not store._publish(7, manifest)
         fresh = LogStore(spark, root, read_only=True)
         assert len(fresh._manifests()) == 20 and fresh._manifests()[0] == manifest and fresh.log().count() == 1
+
+
+def test_files_do_not_grow_with_segments(spark, tmp_path):
+    root = tmp_path / "s"
+    with LogStore(spark, str(root), max_block=100, request=5) as store:
+        for _ in range(2):
+            store.write(entries(spark, [("ab"[i % 2], i, str(i).encode()) for i in range(1500)]))
+        assert store.log().select("topic", "block").distinct().count() > 300
+        assert len(list(root.glob("data/**/*.parquet"))) < 40
+        assert sorted((r.topic, r.offset) for r in store.log().collect()) == [(t, o) for t in "ab" for o in range(1500)]
+
+
+def test_commits_with_a_folder_for_each_block_are_read(spark, tmp_path):
+    """As stores had them before: between commits of now, and read by one job with others."""
+    root = str(tmp_path / "s")
+    with LogStore(spark, root, max_block=100, request=5) as store:
+        store.write(entries(spark, [("a", i, str(i).encode()) for i in range(30)]))
+        first = store._manifests()[0]
+        was = sorted(map(tuple, store.log().collect()))
+        store.log().write.partitionBy("topic", "block").parquet(f"{root}/data/commit=old")
+        (tmp_path / "s/commits" / f"{0:020d}.json").write_text('{"id": "old", "wrote": 30, "token": null}')
+        (tmp_path / "s/commits" / f".{0:020d}.json.crc").unlink(missing_ok=True)
+        os.rename(f"{root}/status/{first['id']}-0", f"{root}/status/old-0")
+    with LogStore(spark, root, max_block=100, request=5) as store:
+        assert sorted(map(tuple, store.log().collect())) == was
+        store.write(entries(spark, [("a", i, b"new") for i in range(30)]))
+        for n in range(2, 20):
+            assert store._publish(n, {"id": "none", "wrote": 0, "token": None, "layout": 2})
+    store = LogStore(spark, root, read_only=True)
+    assert store.log().columns == ["offset", "content", "byte_size", "batch_id", "topic", "block"]
+    assert [r.offset for r in store.read("a", 20).orderBy("offset").collect()] == list(range(20, 60)) and ops.contiguity_violations(store.log()).count() == 0
