@@ -45,7 +45,8 @@ class LeaseError(RuntimeError):
 class Lease:
     """A writer's claim: a file with the owner's name, stale ``seconds`` after it was last written.
 
-    While the owner works (``kept``) it is written again each third of that time."""
+    While the owner works (``kept``) it is written again each third of that time. The file is empty while it is written, so
+    the owner's threads take turns."""
 
     spark: SparkSession
     path: str
@@ -53,22 +54,25 @@ class Lease:
 
     def __post_init__(self):
         self.owner = uuid.uuid4().hex
+        self._turn = threading.RLock()
 
     def _put(self, overwrite: bool) -> bool:
         fs, path = filesystem(self.spark, self.path)
-        try:
-            out = fs.create(path, overwrite)
-        except Exception as e:
-            if "AlreadyExists" in str(e):
-                return False
-            raise
-        out.write(bytearray(self.owner.encode()))
-        out.close()
+        with self._turn:
+            try:
+                out = fs.create(path, overwrite)
+            except Exception as e:
+                if "AlreadyExists" in str(e):
+                    return False
+                raise
+            out.write(bytearray(self.owner.encode()))
+            out.close()
         return True
 
     def holder(self) -> str | None:
         fs, path = filesystem(self.spark, self.path)
-        return _text(self.spark, self.path) if fs.exists(path) else None
+        with self._turn:
+            return _text(self.spark, self.path) if fs.exists(path) else None
 
     def acquire(self) -> bool:
         """Take the claim if it is free, stale, or already ours (then it is renewed)."""

@@ -208,3 +208,26 @@ def test_commits_with_a_folder_for_each_block_are_read(spark, tmp_path):
     store = LogStore(spark, root, read_only=True)
     assert store.log().columns == ["offset", "content", "byte_size", "batch_id", "topic", "block"]
     assert [r.offset for r in store.read("a", 20).orderBy("offset").collect()] == list(range(20, 60)) and ops.contiguity_violations(store.log()).count() == 0
+
+
+def test_owner_sees_its_claim_while_it_is_renewed(spark, tmp_path):
+    """index_refresh once lost its lease so: the file is empty between its creation and its close."""
+    lease = LogStore(spark, str(tmp_path / "s"), lease_seconds=60).lease
+    done = threading.Event()
+    failed = []
+
+    def renew():
+        try:
+            while not done.is_set():
+                assert lease.renew()
+        except BaseException as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=renew)
+    thread.start()
+    try:
+        seen = {lease.holder() for _ in range(300)}
+    finally:
+        done.set()
+        thread.join()
+    assert seen == {lease.owner} and not failed
