@@ -1,8 +1,8 @@
 """Binary segment files as a Spark data source.
 
 ``spark.read.format("segments").load(path)`` reads the frames of ``.log`` files: a file, a topic's folder, or a folder of
-topics. Columns: topic, block (from the file's name), offset, content, byte_size, crc, byte_offset. A file is a
-partition. Filters on topic, block and offset skip files, and within a file the sparse index beside it (``.idx``) gives
+topics. Columns: topic, block (from the file's name), offset, content, byte_size, crc, byte_offset. A partition is a
+large file or several small ones. Filters on topic, block and offset skip files, and within a file the sparse index beside it (``.idx``) gives
 the byte to begin at. ``format("segment_index")`` reads the index files, and ``df.write.format("segments")`` writes files.
 
 Options: ``verify`` (check the checksums), ``tolerate_torn_tail`` (end a file at an incomplete frame, else it is an error),
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     EqualTo,
     GreaterThan,
     GreaterThanOrEqual,
@@ -43,9 +43,11 @@ LOG_SCHEMA = "topic string, block long, offset long, content binary, byte_size l
 INDEX_SCHEMA = "topic string, block long, offset long, byte_offset long"
 
 
-LOG_NAMES = [x.split()[0] for x in LOG_SCHEMA.split(", ")]
+LOG_NAMES, INDEX_NAMES = [[x.split()[0] for x in s.split(", ")] for s in (LOG_SCHEMA, INDEX_SCHEMA)]
 #: Bytes of contents, and rows, of a batch that the reader hands to Spark.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 8192
+#: A task reads files until they have so many bytes, and so many files at most.
+TASK_BYTES, TASK_FILES = 4 << 20, 128
 
 
 class FrameError(ValueError):
@@ -53,13 +55,30 @@ class FrameError(ValueError):
 
 
 @dataclass
-class Segment(InputPartition):
+class Segment:
     path: str
     topic: str
     block: int
     upto: int | None  # first offset of the next segment
 
 
+@dataclass
+class Files(InputPartition):
+    segments: list[Segment]
+
+
+def in_tasks(found: list[Segment]) -> list[Files]:
+    """``found`` in the same order, a task's files together: tasks grow with the bytes, not with the files."""
+    tasks, held = [Files([])], 0
+    for s in found:
+        if held >= TASK_BYTES or len(tasks[-1].segments) >= TASK_FILES:
+            tasks.append(Files([]))
+            held = 0
+        tasks[-1].segments.append(s)
+        held += os.path.getsize(s.path)
+    return tasks  # an empty list would make Spark read a partition of nothing known: there is one task at least
+
+
 def list_segments(path: str, suffix: str) -> list[Segment]:
     """Segment files below ``path``, by topic and block. Hidden folders and other files are passed over, with a warning if
     only the number is missing."""
@@ -215,12 +234,13 @@ class SegmentReader(DataSourceReader):
         b = self.bounds
         found = [s for s in list_segments(self.path, "log") if b.topic in (None, s.topic) and b.within("block", s.block)]
         low, high = b.low.get("offset", 0), b.high.get("offset")
-        # an empty list would make Spark read a partition of nothing known
-        return [s for s in found if (s.upto is None or s.upto > low) and (high is None or s.block <= high)] or [Segment("", "", 0, None)]
+        return in_tasks([s for s in found if (s.upto is None or s.upto > low) and (high is None or s.block <= high)])
+
+    def read(self, partition: Files):
+        for s in partition.segments:
+            yield from self._segment(s)
 
-    def read(self, partition: Segment):
-        if not partition.path:
-            return
+    def _segment(self, partition: Segment) -> Iterator[pa.RecordBatch]:
         low, high = self.bounds.low.get("offset", 0), self.bounds.high.get("offset")
         start, expected = 0, partition.block
         if low > partition.block:
@@ -264,12 +284,17 @@ class IndexReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        return list_segments(self.path, "idx") or [Segment("", "", 0, None)]
+        return in_tasks(list_segments(self.path, "idx"))
 
-    def read(self, partition: Segment):
-        if partition.path:
-            for offset, at in read_index(partition.path):
-                yield partition.topic, partition.block, offset, at
+    def read(self, partition: Files):
+        for s in partition.segments:
+            with open(s.path, "rb") as f:
+                data = f.read()
+            pairs = np.frombuffer(data, "<i8", len(data) // INDEX_ENTRY * 2).reshape(-1, 2)
+            if (pairs < 0).any():
+                raise FrameError(f"{s.path}: a number beyond 63 bits")
+            for part in (pairs[i : i + BATCH_ROWS] for i in range(0, len(pairs), BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([s.topic] * len(part)), pa.array(np.full(len(part), s.block)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], INDEX_NAMES)
 
 
 @dataclass
@@ -277,7 +302,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class SegmentWriter(DataSourceWriter):
+class SegmentWriter(DataSourceArrowWriter):
     """Writes rows with topic, block, offset, content, sorted so by the caller, to ``path``/topic/block.log with its index.
 
     A task writes under other names; the commit renames. A segment must come from one task."""
@@ -287,13 +312,14 @@ class SegmentWriter(DataSourceWriter):
         names = schema.fieldNames()
         self.at = [names.index(x) for x in ("topic", "block", "offset", "content")]
 
-    def write(self, rows):
+    def write(self, batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         mark = f".tmp-{TaskContext.get().taskAttemptId()}"
         done, current, f = [], None, None
         held: list[bytes] = []
-        first = expected = size = 0
+        index: list[bytes] = []
+        first = expected = size = place = 0
 
         def flush():
             nonlocal held, first, size
@@ -306,26 +332,30 @@ class SegmentWriter(DataSourceWriter):
                 flush()
                 f.close()
                 with open(done[-1][0].replace(".log" + mark, ".idx" + mark), "wb") as g:
-                    g.write(build_index(done[-1][0], self.every))
-
-        for row in rows:
-            topic, block, offset, content = [row[i] for i in self.at]
-            if (topic, block) != current:
-                close()
-                if "/" in topic or topic.startswith("."):
-                    raise ValueError(f"not a topic's name: {topic}")
-                os.makedirs(os.path.join(self.path, topic), mode=0o744, exist_ok=True)
-                name = os.path.join(self.path, topic, f"{block:020d}.log")
-                f = open(name + mark, "wb")  # noqa: SIM115
-                done.append((name + mark, name))
-                current, first, expected = (topic, block), offset, offset
-            if offset != expected:
-                raise ValueError(f"offset {offset} of {topic} where {expected} follows")
-            held.append(bytes(content))
-            size += len(content)
-            expected += 1
-            if size > 8 << 20:
-                flush()
+                    g.write(b"".join(index))
+
+        for batch in batches:
+            for topic, block, offset, content in zip(*(batch.column(i).to_pylist() for i in self.at), strict=True):
+                if (topic, block) != current:
+                    close()
+                    if "/" in topic or topic.startswith("."):
+                        raise ValueError(f"not a topic's name: {topic}")
+                    if current is None or topic != current[0]:
+                        os.makedirs(os.path.join(self.path, topic), mode=0o744, exist_ok=True)
+                    name = os.path.join(self.path, topic, f"{block:020d}.log")
+                    f = open(name + mark, "wb")  # noqa: SIM115
+                    done.append((name + mark, name))
+                    current, first, expected, index, place = (topic, block), offset, offset, [], 0
+                if offset != expected:
+                    raise ValueError(f"offset {offset} of {topic} where {expected} follows")
+                if offset % self.every == 0 and place:  # as ``build_index`` finds it
+                    index.append(struct.pack("<QQ", offset, place))
+                held.append(content)
+                size += len(content)
+                place += OVERHEAD + len(content)
+                expected += 1
+                if size > 8 << 20:
+                    flush()
         close()
         return Written(done)
 

@@ -1,5 +1,7 @@
 """Segment and index files, by hand and through Spark."""
 
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,22 @@ def test_tails_and_positions_by_spark(spark, logs):
     at = {(r.topic, r.offset): r.byte_offset for r in spark.read.format("segments").load(root).collect()}
     found = segments.find_positions(spark, root, 7).collect()
     assert {(r.topic, r.offset): r.byte_offset for r in found} == {k: v for k, v in at.items() if k[1] % 7 == 0} and all(r.passed <= 10 for r in found)
+
+
+def test_tasks_do_not_grow_with_files(spark, tmp_path):
+    """Thousands of small files are read by a few tasks, in either format; large ones by a task each."""
+    segments.register(spark)
+    root = str(tmp_path / "logs")
+    df = spark.range(3000).selectExpr("'t' as topic", "id div 3 * 3 as block", "id as offset", "encode(cast(id as string), 'UTF-8') as content")
+    df.repartition(4, "topic", "block").sortWithinPartitions("topic", "block", "offset").write.format("segments").mode("append").option("path", root).option("every", 2).save()
+    rows = spark.read.format("segments").option("verify", "true").load(root)
+    assert rows.rdd.getNumPartitions() == 8 and sorted((r.block, r.offset, bytes(r.content)) for r in rows.collect()) == [(i // 3 * 3, i, str(i).encode()) for i in range(3000)]
+    index = spark.read.format("segment_index").load(root)
+    assert index.rdd.getNumPartitions() == 8
+    found = segments.list_segments(root, "log")
+    wanted = [("t", s.block, *x) for s in found for x in struct.iter_unpack("<QQ", segments.build_index(s.path, 2))]
+    assert len(found) == 1000 and sorted(map(tuple, index.collect())) == wanted and len(wanted) == 1000
+    assert [len(x.segments) for x in segments.in_tasks(found)] == [128] * 7 + [104]
+    with open(found[1].path, "ab") as f:
+        f.truncate(segments.TASK_BYTES)
+    assert [len(x.segments) for x in segments.in_tasks(found[:3])] == [2, 1] and [x.segments for x in segments.in_tasks([])] == [[]]
