@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +20,10 @@ from millrace.operators import index as idx
 from millrace.operators import log as ops
 
 from millrace.sources.store import LogStore
+from millrace.workers import python_workers
+
+#: Bytes of contents in a piece that is handed to the driver.
+PIECE_BYTES = 8 << 20
 
 
 def _trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -69,6 +74,37 @@ def tail(store: LogStore, checkpoint: str, handle: Callable[[DataFrame, int], No
     return _each(store, checkpoint, deliver, every, per_trigger)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` (offset, content) cut where contents pass ``PIECE_BYTES``; an entry is never cut."""
+    start = held = 0
+    for i, content in enumerate(batch.column(1)):
+        held += content.as_buffer().size
+        if held >= PIECE_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece, compressed, as rows one by one take many more bytes on their way to the driver."""
+    for batch in batches:
+        for piece in [batch] if batch.nbytes < PIECE_BYTES else _pieces(batch):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece"])
+
+
+def _rows(snapshot: DataFrame) -> Iterator[tuple[int, bytes]]:
+    """The rows (offset, content) of ``snapshot`` in its order, on the driver, a partition at a time."""
+    python_workers(snapshot.sparkSession)
+    for row in snapshot.mapInArrow(_pack, "piece binary").toLocalIterator():
+        with pa.ipc.open_stream(row["piece"]) as piece:
+            for batch in piece:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
 def follow(store: LogStore, topic: str, offset: int = 0, size: int = 1000, poll: float = 2.0, ttl: float = 30.0, stop_on_completion: bool = False) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     """Batches (number of the first offset, entries) of a topic, ascending and without gaps, for one consumer on the driver.
 
@@ -82,12 +118,12 @@ def follow(store: LogStore, topic: str, offset: int = 0, size: int = 1000, poll:
         snapshot = store.read(topic, offset).orderBy("offset")
         held: list[tuple[int, bytes]] = []
         got = False
-        for row in snapshot.toLocalIterator():
-            held.append((row["offset"], bytes(row["content"])))
+        for row in _rows(snapshot):
+            held.append(row)
             if len(held) == size:
                 yield held[0][0], held
                 held, got = [], True
-                offset = row["offset"] + 1
+                offset = row[0] + 1
         if held:
             yield held[0][0], held
             offset, got = held[-1][0] + 1, True

@@ -5,6 +5,7 @@ import random
 import threading
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,20 @@ def test_owner_sees_its_claim_while_it_is_renewed(spark, tmp_path):
         done.set()
         thread.join()
     assert seen == {lease.owner} and not failed
+
+
+def test_follow_takes_compressed_pieces(spark, tmp_path, monkeypatch):
+    """What a follower gets, in order, across partitions and pieces; rows reach the driver in pieces, not one by one."""
+    rows = [(o, bytes(range(o % 40)) * 5) for o in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([o for o, _ in rows], pa.int64()), pa.array([c for _, c in rows])], ["offset", "content"])
+    packed = [x for b in follow._pack(iter([batch])) for x in b.column(0).to_pylist()]
+    assert len(packed) == 1 and len(packed[0]) < batch.nbytes / 5
+    monkeypatch.setattr(follow, "PIECE_BYTES", 1000)
+    pieces = list(follow._pieces(batch))
+    assert len(pieces) > 100 and pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in follow._pieces(batch.slice(0, 0))] == []
+    with LogStore(spark, str(tmp_path / "s"), max_block=5000, request=10) as store:
+        store.write(entries(spark, [("a", o, c) for o, c in rows]))
+        store.write(entries(spark, [("a", 0, b""), ("b", 0, b"x")]))
+        got = list(follow.follow(store, "a", 7, 100, stop_on_completion=True))
+        assert [first for first, _ in got] == list(range(7, 3001, 100)) and [r for _, b in got for r in b] == [*rows, (3000, b"")][7:]
